@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .packing import op6_packing
+from .simhash import op4_simhash
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
