@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bins of the pattern fit and documents in a pattern.
 BINS, PATTERN = 128, 3
 #: Chunks whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 500_000
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -42,33 +44,62 @@ def vocabulary(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Ids(dict):
-    """Ids, as little-endian 32-bit bytes, of chunks of text between ASCII blanks; the tokenizer works out each chunk that is new.
+class Ids:
+    """Ids, as little-endian 32-bit bytes, of chunks of text between ASCII blanks; the tokenizer works out the chunks that are new.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks. It also
-    lower-cases and splits after letters and digits, so chunks are looked up in lower case and final stops apart.
+    lower-cases and splits between letters and signs, so chunks are looked up in lower case and the signs at their end apart.
+    New words go to the tokenizer together; each ends with a token that bears the vocabulary's end of word.
     """
 
+    SPLIT = regex.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.known = Tokenizer.from_str(vocabulary), {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def encode(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        base = chunk.rstrip(b".,;:!?")
-        ids = self[base] + self[chunk[len(base) :]] if base and len(base) < len(chunk) and base[-1] < 0x80 and base[-1:].isalnum() else self.encode(chunk)
-        self[chunk] = ids
-        return ids
+    def learn(self, chunks: set[bytes]) -> None:
+        split = {c: m.groups() for c in chunks if b"'" not in c and (m := self.SPLIT.fullmatch(c))}
+        words = [w for w in {w for w, _ in split.values()} if w not in self.known]
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4") if words else np.zeros(0, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) == len(words):
+            data = ids.tobytes()
+            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+        else:
+            self.known.update((w, self.encode(w)) for w in words)
+        for c in chunks - split.keys():
+            self.known[c] = self.encode(c)
+        for c, (word, tail) in split.items():
+            if tail:
+                if tail not in self.known:
+                    self.known[tail] = self.encode(tail)
+                self.known[c] = self.known[word] + self.known[tail]
 
     def of(self, text: bytes) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
         if b"<|" in text:  # special tokens are told by their case
             return b"".join(map(self.encode, text.split()))
-        return b"".join(map(self.__getitem__, text.translate(LOWER).split()))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        chunks = text.translate(LOWER).split()
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            self.learn({c for c, x in zip(chunks, ids, strict=True) if x is None})
+            ids = map(self.known.__getitem__, chunks)
+        return b"".join(ids)
+
+
+@lru_cache(1)
+def encoder(vocabulary: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(vocabulary)
 
 
 def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -78,7 +109,7 @@ def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        ids, part, ranks = Ids(sent.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        ids, part, ranks = encoder(sent.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
