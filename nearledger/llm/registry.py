@@ -8,6 +8,7 @@ from .license_scan import op1_license_scan
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .lm import op9_lm_score
 from .packing import op6_packing
+from .pii import op5_pii
 from .quality import op8_quality
 from .simhash import op4_simhash
 from .warc import OP2_SQL, op2_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,

@@ -211,5 +211,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     return join_groups(rows, known, "fp", "n").select("doc_id", "row_hash", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
+    """One document of each group, that with the smallest doc_id (then text hash); of rows repeated whole, one. All columns kept.
+
+    What is looked up in the texts are the documents that go, as written tables: small ones are broadcast by their
+    measured size, larger ones joined by key.
+    """
+    groups = written(near_duplicates(docs, shingle, reach), "simhash-near")
+    who = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
+    first = written(groups.groupBy("component_id").agg(F.min(who).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-first")
+    members = join_groups(groups.filter("component_id is not null"), first, "component_id", "n")
+    gone = members.filter(~(who == F.col("f"))).select("doc_id", "row_hash").distinct()
+    # a group without any id is held together by its fingerprint
+    nameless = groups.filter("component_id is null").groupBy("fp").agg(F.min("row_hash").alias("least"))
+    gone = gone.unionByName(groups.filter("component_id is null").join(nameless, "fp").filter("row_hash <> least").select("doc_id", "row_hash").distinct())
+    twice = groups.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "row_hash")
+    gone, twice = (written(x.withColumnsRenamed({"doc_id": "_d", "row_hash": "_r"}), n) for x, n in ((gone, "simhash-gone"), (twice, "simhash-twice")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r"))
+    left = docs.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return left.join(twice, same, "left_anti").unionByName(once)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
