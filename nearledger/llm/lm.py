@@ -29,7 +29,9 @@ from .common import blank_words, crc_mod, crc_mod_local, mapped, table, written
 #: Most words that go to every worker; classes with one word each, classes of endings.
 HEAD, OWN, ENDINGS = 300_000, 192, 62
 #: Context tokens, dimensions, noise samples a batch, tokens a batch, passes over the corpus, learning rate.
-CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 48, 4096, 2, 0.02
+CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 32, 4096, 1, 0.02
+#: Tokens scored at a time.
+SCORED = 1024
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Fixed point of averaged parameters, which makes their sum independent of its order.
@@ -65,20 +67,21 @@ class LogBilinear:
         h = sum(x * m[i] for i, x in enumerate(seen))
         noise = draw.choice(len(self.noise), NOISE, p=self.noise)
         chance = np.log(NOISE * self.noise).astype(np.float32)
-        own = q[word]
-        real = 1 / (1 + np.exp(np.clip((h * own).sum(1) + b[word] - chance[word], -30, 30)))  # 1 - sigma
-        false = -1 / (1 + np.exp(-np.clip(h @ q[noise].T + b[noise] - chance[noise], -30, 30)))
-        to_h = real[:, None] * own + false @ q[noise]
-        c = len(b)
+        own, q_noise = q[word], q[noise]
+        real = 1 / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", h, own) + (b - chance)[word], 30)))  # 1 - sigma
+        false = h @ q_noise.T
+        false += (b - chance)[noise]
+        np.minimum(false, 30, out=false)
+        np.exp(false, out=false)
+        false /= -(1 + false)  # minus sigma
+        to_h = real[:, None] * own + false @ q_noise
         grads = [np.zeros_like(p) for p in self.parts]
-        pulled = real[:, None] * h
-        for d in range(DIM):
-            grads[2][:, d] = np.bincount(word, pulled[:, d], c)
-            for i in range(CONTEXT):
-                grads[0][:, d] += np.bincount(context[:, i], to_h[:, d] * m[i, d], c)
+        place = np.argsort(word, kind="stable")
+        scatter(grads[2], word, real[:, None] * h, place)
+        grads[3] += np.bincount(word, real, len(b))
         for i in range(CONTEXT):
-            grads[1][i] = (to_h * seen[i]).sum(0)
-        grads[3] += np.bincount(word, real, c)
+            scatter(grads[0], context[:, i], to_h * m[i])
+            grads[1][i] = np.einsum("nd,nd->d", to_h, seen[i])
         np.add.at(grads[2], noise, false.T @ h)
         np.add.at(grads[3], noise, false.sum(0))
         self.steps += 1
@@ -90,24 +93,38 @@ class LogBilinear:
             self.parts[k] = self.parts[k] + RATE * up / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-4)
 
     def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities, in blocks."""
+        """Normalised log10 probabilities, in blocks: one product with all class vectors (and biases), one exponential, one sum."""
         r, m, q, b = self.parts
         placed = [r * m[i] for i in range(CONTEXT)]
+        reach = np.abs(b).max() + sum(np.abs(p).max(0) for p in placed) @ np.abs(q).max(0)
+        with_bias, ones = np.vstack([q.T, b]), np.ones(len(b), dtype=np.float32)
         out = np.empty(len(word))
-        for at in range(0, len(word), BATCH):
-            s = slice(at, at + BATCH)
-            h = placed[0][context[s, 0]]
+        h, logits = np.ones((SCORED, DIM + 1), dtype=np.float32), np.empty((SCORED, len(b)), dtype=np.float32)
+        for at in range(0, len(word), SCORED):
+            now = slice(at, at + SCORED)
+            k = len(word[now])
+            x, y = h[:k], logits[:k]
+            x[:, :DIM] = placed[0][context[now, 0]]
             for i in range(1, CONTEXT):
-                h = h + placed[i][context[s, i]]
-            logits = h @ q.T + b
-            own = logits[np.arange(len(logits)), word[s]]
-            top = logits.max(1)
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[s] = (own - top).astype(np.float64) - np.log(logits.sum(1, dtype=np.float64))
+                x[:, :DIM] += placed[i][context[now, i]]
+            np.dot(x, with_bias, out=y)
+            top = y.max(1) if reach > 60 else np.zeros(k, dtype=np.float32)  # within 60, no exponential overflows or vanishes
+            own = y[np.arange(k), word[now]] - top
+            if reach > 60:
+                y -= top[:, None]
+            np.exp(y, out=y)
+            out[now] = own - np.log(y @ ones)
         return out / np.log(10)
 
 
+def scatter(into: np.ndarray, classes: np.ndarray, rows: np.ndarray, place: np.ndarray | None = None) -> None:
+    """Add each row to its class."""
+    place = np.argsort(classes, kind="stable") if place is None else place
+    of = classes[place]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    into[of[first]] += np.add.reduceat(rows[place], first, axis=0)
+
+
 class Vocabulary:
     """What goes to the workers: words of the head with their counts, the classes, corpus totals. Its size is bounded by HEAD."""
 
