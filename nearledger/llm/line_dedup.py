@@ -26,6 +26,8 @@ LEAST_CHARS = 20
 #: Bits of a character's hash; a sum over two million of them fits a long.
 BITS = (1 << 42) - 1
 
+AT, LONG, SELF = 0, 1, 2
+
 NEWLINE = "\n"
 
 
@@ -37,14 +39,22 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def _halves(line: Column, n: Column) -> Column:
+HALVES = ["first_0", "last_0", "first_1", "last_1"]
+
+
+def _halves(line: Column, n: Column) -> list[Column]:
     """Hashes of the halves: of a pair with at most one edit, whose shorter line has L characters, the first L // 2 or the last L - L // 2 agree."""
     out = []
     for short in (n, n - 1):
         half = F.floor(short / 2).cast("int")
         rest = (short - half).cast("int")
         out += [F.xxhash64(F.lit("first"), short, F.substring(line, F.lit(1), half)), F.xxhash64(F.lit("last"), short, F.right(line, rest))]
-    return F.array(*out)
+    return [x.alias(name) for x, name in zip(out, HALVES, strict=True)]
+
+
+def _order(doc_id: Column, line_no: Column) -> Column:
+    """Place of a line among all, as one number that aggregates in place; null ids first."""
+    return (F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -59,68 +69,70 @@ def _long(rows: DataFrame, least_chars: int) -> DataFrame:
 
 
 def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keys of lines with an earlier line within one edit. first: written, one row per distinct line; rows: lines() of the documents."""
-    halves = first.select("key", F.posexplode("halves").alias("which", "half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("half")
-    hit = halves.join(shared, "half", "left_semi").groupBy("key").agg(
+    """Order of lines with an earlier line within one edit. first: written, one row per distinct line; rows: lines() of the documents."""
+    halves = first.select("order", "n_chars", F.posexplode(F.array(*HALVES)).alias("which", "half"))
+    shared = halves.groupBy("half").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a <> b").select("half")
+    hit = halves.join(shared, "half", "left_semi").groupBy("order", "n_chars").agg(
         F.max(F.col("which").isin(0, 2)).alias("edit_late"), F.max(F.col("which").isin(1, 3)).alias("edit_early")
     )
-    suspects = written(first.select("key", "doc_id", "line_no", "n_chars").join(hit, "key"), "line-suspects")
+    suspects = written(hit, "line-suspects")
     # the text of a line is fetched where it stands first
-    at = suspects.withColumnsRenamed({"key": "k", "doc_id": "d", "line_no": "l"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
-    texts = rows.join(at, same).filter(_key(F.col("line")) == F.col("k"))
-    texts = written(texts.select(F.col("k").alias("key"), F.struct("doc_id", "line_no").alias("order"), "n_chars", "edit_late", "edit_early", "line").dropDuplicates(["key"]), "line-texts")
-
-    chars = texts.select("key", "order", "n_chars", "edit_late", "edit_early", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), 0)).alias("i", "c"))
-    chars = chars.withColumns({"here": F.xxhash64("i", "c").bitwiseAND(F.lit(BITS)), "moved": F.xxhash64(F.col("i") - 1, "c").bitwiseAND(F.lit(BITS))})
-    line = Window.partitionBy("key")
+    placed = rows.select(_order(F.col("doc_id"), F.col("line_no")).alias("order"), "line")
+    texts = placed.join(suspects, "order").filter(F.length("line") == F.col("n_chars"))
+    texts = written(texts.select("order", "n_chars", "edit_late", "edit_early", "line").dropDuplicates(["order"]), "line-texts")
+
+    chars = texts.select("order", "n_chars", "edit_late", "edit_early", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), 0)).alias("i", "c"))
+    chars = chars.withColumns({"here": F.xxhash64("i", "c").bitwiseAND(F.lit(BITS)), "moved": F.xxhash64(F.col("i") - 1, "c").bitwiseAND(F.lit(BITS))}).drop("c")
+    line = Window.partitionBy("order")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = chars.select(
-        "key", "order", "n_chars", "i", "edit_late", "edit_early",
+        "order", "n_chars", "i", "edit_late", "edit_early",
         (F.sum("here").over(upto) - F.col("here") - F.sum("moved").over(upto)).alias("before"), F.sum("here").over(line).alias("whole"), F.sum("moved").over(line).alias("all_moved"),
     )
     deleted = F.col("before") + F.col("all_moved")
     wanted = (F.col("edit_late") & (F.col("i") >= F.floor((F.col("n_chars") - 1) / 2))) | (F.col("edit_early") & (F.col("i") <= F.floor(F.col("n_chars") / 2)))
-    # "at": a character taken out at a place; "long": the text that this leaves; "self": the text of the line itself
-    make = lambda kind, *of: F.struct(F.xxhash64(*of).alias("variant"), F.lit(kind).alias("kind"))
+    # AT: a character taken out at a place; LONG: the text that this leaves; SELF: the text of the line itself
+    make = lambda kind, *of: F.struct(F.xxhash64(*of).alias("variant"), F.lit(kind).cast("byte").alias("kind"))
     keys = F.filter(
         F.array(
-            F.when(wanted, make("at", F.lit("at"), F.col("n_chars"), F.col("i"), deleted)),
-            F.when(wanted, make("long", F.lit("text"), F.col("n_chars") - 1, deleted)),
-            F.when(F.col("i") == 0, make("self", F.lit("text"), F.col("n_chars"), F.col("whole"))),
+            F.when(wanted, make(AT, F.lit("at"), F.col("n_chars"), F.col("i"), deleted)),
+            F.when(wanted, make(LONG, F.lit("text"), F.col("n_chars") - 1, deleted)),
+            F.when(F.col("i") == 0, make(SELF, F.lit("text"), F.col("n_chars"), F.col("whole"))),
         ),
         lambda x: x.isNotNull(),
     )
-    variants = written(sums.select("key", "order", F.explode(keys).alias("v")).select("v.variant", "v.kind", "key", "order"), "line-variants")
-    who = F.struct("order", "key")
+    variants = written(sums.select("order", F.explode(keys).alias("v")).select("v.variant", "v.kind", "order"), "line-variants")
     least = variants.groupBy("variant").agg(
-        F.min(F.when(F.col("kind") != "self", who)).alias("long"), F.min(F.when(F.col("kind") == "self", who)).alias("self"), F.min("key").alias("a"), F.max("key").alias("b")
+        F.min(F.when(F.col("kind") != SELF, F.col("order"))).alias("long"), F.min(F.when(F.col("kind") == SELF, F.col("order"))).alias("self"), F.min("order").alias("a"), F.max("order").alias("b")
     ).filter("a <> b")
+    least = written(least.select("variant", "long", "self"), "line-variants-met")
     # lines that share a place differ there alone; a longer line meets the text that it leaves, and that text the earliest longer one
-    by = F.when(F.col("kind") == "long", F.col("self")).otherwise(F.col("long"))
-    pairs = variants.join(least.select("variant", "long", "self"), "variant").withColumn("m", by).filter(F.col("m.order") < F.col("order"))
-    pairs = written(pairs.select("key", F.col("m.key").alias("by")).distinct(), "line-pairs")
-    side = texts.select("key", "line")
-    checked = pairs.join(side, "key").join(side.withColumnsRenamed({"key": "by", "line": "by_line"}), "by")
-    return checked.filter(F.levenshtein("line", "by_line", 1) >= 0).select("key").distinct()
+    by = F.when(F.col("kind") == LONG, F.col("self")).otherwise(F.col("long"))
+    pairs = variants.join(least, "variant").withColumn("by", by).filter(F.col("by") < F.col("order"))
+    pairs = written(pairs.select("order", "by").distinct(), "line-pairs")
+    side = texts.select("order", "line")
+    checked = pairs.join(side, "order").join(side.withColumnsRenamed({"order": "by", "line": "by_line"}), "by")
+    return checked.filter(F.levenshtein("line", "by_line", 1) >= 0).select("order").distinct()
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:
     """doc_id, row_hash, line_no, near (not equal to an earlier line, but within an edit) of each line that goes."""
     rows = _long(lines(docs), least_chars)
     n = F.length("line")
-    keyed = written(rows.select("doc_id", "row_hash", "line_no", _key(F.col("line")).alias("key"), n.alias("n_chars"), _halves(F.col("line"), n).alias("halves")), "line-keys")
-    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("n_chars").alias("n_chars"), F.first("halves").alias("halves"))
-    first = written(first.select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.line_no").alias("line_no"), "n", "n_chars", "halves"), "line-first")
-    repeated = first.select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "n")
+    keyed = written(rows.select("doc_id", "row_hash", "line_no", _key(F.col("line")).alias("key"), n.alias("n_chars"), *_halves(F.col("line"), n)), "line-keys")
+    first = keyed.groupBy("key").agg(
+        F.min(_order(F.col("doc_id"), F.col("line_no"))).alias("order"), F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("n_chars"), *[F.max(h).alias(h) for h in HALVES]
+    )
+    first = written(first, "line-first")
+    repeated = first.select("key", "order", "n")
     if near:
         gone = near_lines(first, rows).withColumn("gone", F.lit(True))
-        repeated = written(repeated.join(gone, "key", "left").filter("n > 1 or gone").withColumn("gone", F.coalesce("gone", F.lit(False))), "line-gone")
+        repeated = repeated.join(gone, "order", "left").filter("n > 1 or gone").withColumn("gone", F.coalesce("gone", F.lit(False)))
     else:
-        repeated = written(repeated.filter("n > 1").withColumn("gone", F.lit(False)), "line-gone")
+        repeated = repeated.filter("n > 1").withColumn("gone", F.lit(False))
+    repeated = written(repeated.withColumnRenamed("order", "first_order"), "line-gone")
     met = join_groups(keyed.select("doc_id", "row_hash", "line_no", "key"), repeated, "key", "n")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    is_first = _order(F.col("doc_id"), F.col("line_no")) == F.col("first_order")
     return met.filter(F.col("gone") | ~is_first).select("doc_id", "row_hash", "line_no", is_first.alias("near"))
 
 
