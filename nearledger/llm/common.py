@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..package import mapped  # noqa: F401  for the operators
+
+#: A side of at most so many narrow rows (some 50 MB as a hash table) may be broadcast once it is written and counted.
+BROADCAST_ROWS = 500_000
 #: A key with at least one row in so many is hot, so there are no more hot keys than this and their rows may be broadcast.
 HOT_SHARE = 1000
 #: [^\x20\x09-\x0D]+ over bytes: every ASCII blank becomes a space, A-Z becomes a-z.
@@ -60,26 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a context: it may not be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_nearledger_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():
-        at = tempfile.mkdtemp(prefix="nearledger-package-")
-        atexit.register(shutil.rmtree, at, True)
-        with zipfile.ZipFile(f"{at}/nearledger_package.zip", "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(f"{at}/nearledger_package.zip")
-    sc._nearledger_shipped = True
-
-
-def mapped(df: DataFrame, f, schema) -> DataFrame:
-    """mapInArrow with this package at hand."""
-    ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its count allows it; beyond that, the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def crc_mod(doc_id: Column, mod: int) -> Column:

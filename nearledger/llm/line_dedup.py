@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, table, written
+from .common import join_groups, small, table, written
 
 LEAST_CHARS = 20
 #: Bits of a character's hash; a sum over two million of them fits a long.
@@ -78,7 +78,7 @@ def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
     suspects = written(hit, "line-suspects")
     # the text of a line is fetched where it stands first
     placed = rows.select(_order(F.col("doc_id"), F.col("line_no")).alias("order"), "line")
-    texts = placed.join(suspects, "order").filter(F.length("line") == F.col("n_chars"))
+    texts = placed.join(small(suspects), "order").filter(F.length("line") == F.col("n_chars"))
     texts = written(texts.select("order", "n_chars", "edit_late", "edit_early", "line").dropDuplicates(["order"]), "line-texts")
 
     chars = texts.select("order", "n_chars", "edit_late", "edit_early", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), 0)).alias("i", "c"))
