@@ -14,6 +14,7 @@ from .vectorize import VECTOR
 
 CODES = [f"c{i}" for i in range(DIMS)]
 VERSION = 1
+ROWS = "rid long, " + ", ".join(f"{c} int" for c in CODES) + ", fraud boolean, cell int, bucket int"
 #: Rows of a bucket that centroids are fitted to.
 SAMPLE = 50_000
 
@@ -126,7 +127,7 @@ class Index:
         if meta is None or (meta["version"], meta["dims"], meta["k"]) != (VERSION, DIMS, K):
             raise ValueError(f"{path} is no index of version {VERSION} with {DIMS} dimensions and k {K}: {meta}")
         self.nlist, self.n = meta["nlist"], meta["n"]
-        self.rows = spark.read.schema("rid long, " + ", ".join(f"{c} int" for c in CODES) + ", fraud boolean, cell int, bucket int").parquet(f"{path}/rows")
+        self.rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
         self.centroids = spark.read.parquet(f"{path}/centroids")
 
 
@@ -140,7 +141,7 @@ def build_index(refs: DataFrame, path: str, nlist: int = 1024, iters: int = 10,
     held = fit_centroids(spark.read.parquet(f"{path}/sample"), nlist, iters)
     out = assign(spark.read.parquet(f"{path}/ranked"), held)
     out.repartitionByRange("bucket", "cell", "rid").sortWithinPartitions("bucket", "cell", "rid").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
-    sizes = spark.read.parquet(f"{path}/rows").groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes = spark.read.schema(ROWS).parquet(f"{path}/rows").groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
     placed = spark.createDataFrame(held.rows() or [(0, 0, *[0.0] * DIMS)], "bucket int, cell int, " + ", ".join(f"{v} double" for v in VECTOR))
     placed.join(sizes, ["bucket", "cell"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")  # cells without rows take no probe
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
