@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ NOTICES = (
     ("gnu lesser general public license", "lgpl", 2),
     ("gnu affero general public license", "agpl", 2),
     ("licensed under the apache license version 2 0", "apache-2.0-notice", 3),
-    ("licensed under cc by nc 4 0", "cc-by-nc-notice", 2),
-    ("licensed under cc by sa 4 0", "cc-by-sa-notice", 2),
+    ("licensed under cc by nc 4 0", "cc-by-nc-notice", 1),
+    ("licensed under cc by sa 4 0", "cc-by-sa-notice", 1),
     ("creative commons attribution", "creative-commons", 2),
     ("permission is hereby granted free of charge to any person", "mit-notice", 5),
     ("licensed under the mit license", "mit-notice", 3),
@@ -54,12 +55,19 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def words_before(text: str, places: list[int]) -> list[int]:
+    """Blanks before each place, by one look at the text."""
+    if not places:
+        return []
+    return np.searchsorted(np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 0x20), places).tolist()
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices=NOTICES):
         import ahocorasick
 
         self.phrases, self.notices = {f" {k} ": v for k, v in phrases.items()}, notices
-        self.patterns = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(n)}){{e<={k}}}(?= )") for n, _, k in notices]
+        self.patterns = [regex.compile(rf"(?e)(?<= )(?:{regex.escape(n)}){{e<={k}}}(?= )") for n, _, k in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, _, edits) in enumerate(notices):
             for at, piece in pieces(notice, edits):
@@ -75,9 +83,9 @@ class Scanner:
         for phrase, label in self.phrases.items():
             at = text.find(phrase)
             while at >= 0:
-                out.append((text.count(" ", 0, at), label))
+                out.append((at, label))
                 at = text.find(phrase, at + 1)
-        return out
+        return list(zip(words_before(text, [x for x, _ in out]), [x for _, x in out], strict=True))
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
         """Label, first word, end word and edits of each notice."""
@@ -95,8 +103,9 @@ class Scanner:
         for i, own in windows.items():
             for a, b in own:
                 for m in self.patterns[i].finditer(text, a, b):
-                    out.append((self.notices[i][1], text.count(" ", 0, m.start()) - 1, text.count(" ", 0, m.end()), sum(m.fuzzy_counts)))
-        return out
+                    out.append((self.notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+        starts, ends = words_before(text, [x[1] for x in out]), words_before(text, [x[2] for x in out])
+        return [(label, a - 1, b, k) for (label, _, _, k), a, b in zip(out, starts, ends, strict=True)]
 
     def scan(self, data: bytes) -> tuple:
         words = plain_words(data)

@@ -139,18 +139,18 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool =
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:
     """The documents without repeated lines, all columns kept, and columns _n_lines, _n_exact, _n_near."""
     drops = dropped_lines(docs, least_chars, near).groupBy("doc_id", "row_hash").agg(
-        F.collect_set("line_no").alias("_drops"), F.countDistinct(F.when(F.col("near"), F.col("line_no"))).alias("_near")
+        F.collect_set("line_no").alias("__ld_drops"), F.countDistinct(F.when(F.col("near"), F.col("line_no"))).alias("__ld_near")
     )
-    drops = written(drops, "line-drops").withColumnsRenamed({"doc_id": "_d", "row_hash": "_r"})
+    drops = written(drops, "line-drops").withColumnsRenamed({"doc_id": "__ld_id", "row_hash": "__ld_hash"})
     split = F.split(F.coalesce("text", F.lit("")), NEWLINE, -1)
-    met = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left")
-    met = met.withColumn("_lines", split)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), NEWLINE))
-    n = F.coalesce(F.size("_drops"), F.lit(0)).cast("long")
-    n = F.when(F.col("_drops").isNull(), F.lit(0)).otherwise(n).cast("long")
-    near_n = F.coalesce("_near", F.lit(0)).cast("long")
-    return met.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.size("_lines").cast("long").alias("_n_lines"), (n - near_n).alias("_n_exact"), near_n.alias("_n_near"))
+    met = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__ld_id")) & (F.xxhash64("text") == F.col("__ld_hash")), "left")
+    met = met.withColumn("__ld_lines", split)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_drops"))
+    text = F.when(F.col("__ld_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__ld_lines", i)), NEWLINE))
+    n = F.coalesce(F.size("__ld_drops"), F.lit(0)).cast("long")
+    n = F.when(F.col("__ld_drops").isNull(), F.lit(0)).otherwise(n).cast("long")
+    near_n = F.coalesce("__ld_near", F.lit(0)).cast("long")
+    return met.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.size("__ld_lines").cast("long").alias("_n_lines"), (n - near_n).alias("_n_exact"), near_n.alias("_n_near"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,12 +265,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets, all columns kept. Overlapping spans are replaced as one, under the first one's kind."""
     spans = find_pii(docs).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "row_hash"])
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = written(spans.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), ordered.alias("_s")), "pii-spans")
-    met = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left")
+    spans = written(spans.select(F.col("doc_id").alias("__pii_id"), F.col("row_hash").alias("__pii_hash"), ordered.alias("__pii_spans")), "pii-spans")
+    met = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (F.xxhash64("text") == F.col("__pii_hash")), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["done"])
-    text = F.aggregate("_s", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("done")), lambda a: F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    return met.select(*[(F.when(F.col("_s").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)) for c in docs.columns])
+    text = F.aggregate("__pii_spans", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("done")), lambda a: F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
+    return met.select(*[(F.when(F.col("__pii_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

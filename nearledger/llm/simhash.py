@@ -226,12 +226,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> Da
     nameless = groups.filter("component_id is null").groupBy("fp").agg(F.min("row_hash").alias("least"))
     gone = gone.unionByName(groups.filter("component_id is null").join(nameless, "fp").filter("row_hash <> least").select("doc_id", "row_hash").distinct())
     twice = groups.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "row_hash")
-    gone, twice = (written(x.withColumnsRenamed({"doc_id": "_d", "row_hash": "_r"}), n) for x, n in ((gone, "simhash-gone"), (twice, "simhash-twice")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r"))
+    gone, twice = (written(x.withColumnsRenamed({"doc_id": "__sh_id", "row_hash": "__sh_hash"}), n) for x, n in ((gone, "simhash-gone"), (twice, "simhash-twice")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__sh_id")) & (F.xxhash64("text") == F.col("__sh_hash"))
     left = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(twice, same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    once = left.join(twice, same, "left_semi").withColumn("__sh_text", F.xxhash64("text")).dropDuplicates(["doc_id", "__sh_text"]).drop("__sh_text")
     return left.join(twice, same, "left_anti").unionByName(once)
 
 

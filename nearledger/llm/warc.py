@@ -81,6 +81,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         k, colon, v = line.partition(":")
         if not colon:
             raise Damaged("bad header line")
+        if k.strip().lower() in header and k.strip().lower() != "warc-concurrent-to":
+            raise Damaged("repeated field")
         header[k.strip().lower()] = v.strip()
     if not header.get("content-length", "").isdigit():
         raise Damaged("bad length")
