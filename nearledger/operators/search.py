@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUCKETS, DIMS, K, SearchConfig
-from ..functions import scalars as S
 from ..package import mapped
 from ..sources.store import stored
 from .index import CODES, Centroids, Index
-from .knn import top_k
+from .knn import CELLS, local_top, top_k
 from .vectorize import VECTOR
 
+#: Probes in one broadcast block.
+PROBED = 2_000_000
 PROBES = "qid long, bucket int, cell int, place int, penalty double, home boolean"
 
 
@@ -50,11 +51,53 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int | None = None)
     return mapped(queries.select("qid", *VECTOR, n.cast("int").alias("np")), rank, PROBES)
 
 
-def candidates(queries: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
-    """qid, rid, d, fraud of all rows in probed cells: an equi-join on (bucket, cell); distances in double precision on the query as it is."""
-    q = queries.select("qid", *[F.col(v).alias(f"q_{v}") for v in VECTOR])
-    d = S.squared_distance([F.col(f"q_{v}") for v in VECTOR], [S.dequantize(F.col(c)) for c in CODES])
-    return found.join(rows, ["bucket", "cell"]).join(q, "qid").select("qid", "rid", d.alias("d"), "fraud")
+def candidates(queries: DataFrame, found: DataFrame, rows: DataFrame, probed: int, k: int = K) -> DataFrame:
+    """qid, rid, d, fraud: of the rows in each query's probed cells (found: qid, bucket, cell; `probed` per query at most), the k nearest per query and batch of rows.
+
+    Queries go out in blocks whose probes are bounded; a block is one scan of the rows, which lie in order of their cells, so
+    that a batch meets few cells and each cell's rows meet all of its queries at once. No row is shuffled.
+    """
+    spark, n = queries.sparkSession, queries.count()
+    size = max(64, min(4096, PROBED // max(1, probed)))
+    blocks = max(1, -(-n // size))
+    block, parts = F.pmod(F.xxhash64("qid"), F.lit(blocks)), []
+    for b in range(blocks):
+        q = queries.filter(block == b).select("qid", *VECTOR).orderBy("qid").toArrow()
+        p = found.filter(block == b).select("qid", "bucket", "cell").toArrow()
+        qid = q.column("qid").to_numpy()
+        v = np.column_stack([q.column(c).to_numpy() for c in VECTOR])
+        key = p.column("bucket").to_numpy().astype(np.int64) << 32 | p.column("cell").to_numpy()
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        sent = spark.sparkContext.broadcast((qid, v, keys, np.append(first, len(key)), np.searchsorted(qid, p.column("qid").to_numpy())[order]))
+
+        def scan(batches, sent=sent):
+            qid, v, keys, first, asked = sent.value
+            for b in batches:
+                rid, fraud = b.column(0).to_numpy(), b.column(1 + DIMS).to_numpy(zero_copy_only=False)
+                own = b.column(3 + DIMS).to_numpy().astype(np.int64) << 32 | b.column(2 + DIMS).to_numpy()
+                codes = np.column_stack([b.column(1 + i).to_numpy() for i in range(DIMS)])
+                r = np.where(codes == 0, -1.0, (codes - 1) / 10000.0)
+                for key in np.unique(own):
+                    at = int(np.searchsorted(keys, key))
+                    if at == len(keys) or keys[at] != key:
+                        continue
+                    of, at_rows = asked[first[at] : first[at + 1]], np.flatnonzero(own == key)
+                    step = max(k, CELLS // len(of))
+                    for lo in range(0, len(at_rows), step):
+                        some = at_rows[lo : lo + step]
+                        d = np.zeros((len(some), len(of)))
+                        for i in range(DIMS):
+                            x = v[None, of, i] - r[some, i, None]
+                            d += x * x
+                        i, j = local_top(d, rid[some], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[of[j]]), pa.array(rid[some[i]]), pa.array(d[i, j]), pa.array(fraud[some[i]])], names=["qid", "rid", "d", "fraud"])
+
+        parts.append(mapped(rows.select("rid", *CODES, "fraud", "cell", "bucket"), scan, "qid long, rid long, d double, fraud boolean"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def search(queries: DataFrame, index: Index, nprobe: int | None = None, max_scan: int = 0) -> DataFrame:
@@ -62,16 +105,16 @@ def search(queries: DataFrame, index: Index, nprobe: int | None = None, max_scan
 
     The home bucket comes first; another bucket counts only if its penalty doesn't exceed the k-th distance found at home, so with all cells probed the result is exact.
     """
-    found = probes(queries, index.centroids, nprobe)
+    found, most = probes(queries, index.centroids, nprobe), BUCKETS * (nprobe or SearchConfig.clamp(index.nlist, index.nlist))
     if max_scan:
         sizes = F.broadcast(index.centroids.select("bucket", "cell", "n"))
         before = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("home"), "bucket", "place").rowsBetween(Window.unboundedPreceding, -1))
         found = found.join(sizes, ["bucket", "cell"]).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < max_scan).drop("n", "before")
     found = stored(found, "probes")
-    own = stored(top_k(candidates(queries, found.filter("home"), index.rows), K).drop("rank"), "home")
+    own = stored(top_k(candidates(queries, found.filter("home"), index.rows, most // BUCKETS), K).drop("rank"), "home")
     kth = own.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= K, F.max("d")).alias("kth"))
-    other = found.filter("not home").join(kth, "qid", "left").filter(F.col("kth").isNull() | (F.col("penalty") <= F.col("kth")))
-    return top_k(own.unionByName(candidates(queries, other.select("qid", "bucket", "cell"), index.rows)), K)
+    other = stored(found.filter("not home").join(kth, "qid", "left").filter(F.col("kth").isNull() | (F.col("penalty") <= F.col("kth"))).select("qid", "bucket", "cell"), "others")
+    return top_k(own.unionByName(candidates(queries, other, index.rows, most)), K)
 
 
 def summary(queries: DataFrame, found: DataFrame) -> DataFrame:
