@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, join_groups, mapped, table, written
+from .common import blank_words, join_groups, mapped, small, table, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Entries for the routing tree's sample, entries that a shard should hold, sampled entries that a shard needs at least.
@@ -117,10 +117,10 @@ class Tree:
 
 
 class Union:
-    """Components of places; each is named by its smallest place."""
+    """Components of places; each is named by its smallest place. used: the pairs that joined them, a spanning forest."""
 
     def __init__(self, n: int):
-        self.of = np.arange(n)
+        self.of, self.used = np.arange(n), []
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -128,15 +128,16 @@ class Union:
             new = x != y
             if not new.any():
                 return
-            x, y = x[new], y[new]
-            np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
+            x, y, a, b = x[new], y[new], a[new], b[new]
+            high, one = np.unique(np.maximum(x, y), return_index=True)
+            self.of[high] = np.minimum(x, y)[one]
+            self.used.append((a[one], b[one]))
             while (up := self.of[self.of]).tobytes() != self.of.tobytes():
                 self.of = up
-            a, b = a[new], b[new]
 
 
-def link(fps: np.ndarray, reach: int, size: int = SHARD) -> np.ndarray:
-    """The component of each of some distinct fingerprints: a place of one that it is linked to, directly or not."""
+def link(fps: np.ndarray, reach: int, size: int = SHARD) -> Union:
+    """The components of some distinct fingerprints."""
     union = Union(len(fps))
     for _, rows in Tree(fps, size, reach).route(fps) if len(fps) > size else [(0, np.arange(len(fps)))]:
         own = fps[rows]
@@ -152,11 +153,11 @@ def link(fps: np.ndarray, reach: int, size: int = SHARD) -> np.ndarray:
             keep = i < j
             union.add(rows[at + i[keep]], rows[at + j[keep]])
             at = to
-    return union.of
+    return union
 
 
-def links(entries: DataFrame, reach: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect what is within reach, as a star for each component of each shard. entries: distinct fp, written."""
+def links(entries: DataFrame, reach: int = RADIUS, direct: bool = False) -> DataFrame:
+    """Edges (a, b) that connect what is within reach: a star for each component of each shard, or (direct) a spanning tree of pairs that are within reach themselves. entries: distinct fp, written."""
     spark, n = entries.sparkSession, entries.count()
     every = max(1, -(-n // SAMPLE))
     sample = np.array([r[0] for r in entries.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
@@ -171,9 +172,10 @@ def links(entries: DataFrame, reach: int = RADIUS) -> DataFrame:
 
     def stars(shard: pa.Table) -> pa.Table:
         fps = np.sort(shard.column("fp").to_numpy())
-        of = link(fps.view(np.uint64), reach)
-        linked = np.flatnonzero(of != np.arange(len(fps)))
-        return pa.table({"a": fps[linked], "b": fps[of[linked]]})
+        union = link(fps.view(np.uint64), reach)
+        linked = np.flatnonzero(union.of != np.arange(len(fps)))
+        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*union.used, strict=True)) if direct and union.used else (linked, union.of[linked])
+        return pa.table({"a": fps[a], "b": fps[b]})
 
     return mapped(entries.select("fp"), route, "shard int, fp long").groupBy("shard").applyInArrow(stars, "a long, b long")
 
@@ -211,28 +213,92 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     return join_groups(rows, known, "fp", "n").select("doc_id", "row_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
-    """One document of each group, that with the smallest doc_id (then text hash); of rows repeated whole, one. All columns kept.
+#: Similarity mode: several short fingerprints of two-word shingles, each with trees of its own, propose pairs; shared five-word shingles decide.
+TABLES, TABLE_BITS, PROPOSE = 8, 32, 2
+WORDS, SIMILARITY = 5, 0.8
+
+
+def short_fingerprints(text: bytes) -> list[int]:
+    """TABLES fingerprints of TABLE_BITS bits from two 128-bit hashes of each two-word shingle."""
+    words = blank_words(text)
+    counts, n = np.zeros((32, 8), dtype=np.int64), max(1, len(words) - PROPOSE + 1) if words else 0
+    for at in range(0, n, BLOCK):
+        part = words[at : min(at + BLOCK, n) + PROPOSE - 1]
+        pairs = [b"%b %b" % p for p in zip(part, part[1:], strict=False)] or part
+        octets = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2) for p in pairs]), dtype=np.uint8).reshape(-1, 32)
+        for k in range(32):
+            counts[k] += np.bincount(octets[:, k], minlength=256) @ BITS
+    return np.packbits((2 * counts > n).astype(np.uint8), axis=1).reshape(TABLES, TABLE_BITS // 8).copy().view("<u4").ravel().astype(np.int64).tolist()
+
+
+def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
+    """Sorted distinct 64-bit hashes of a text's shingles, as signed numbers."""
+    w = blank_words(text)
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))] if w else [], dtype=np.uint64).view(np.int64)).tolist()
+
+
+def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, row_hash, component_id, the smallest doc_id that pairs of texts with Jaccard similarity of at least
+    `similarity` over distinct shingles of `words` words reach. Equal texts are similar, also empty ones.
+
+    Proposals are exact within two bits in each of eight 32-bit fingerprints; a pair at the threshold is proposed in
+    some table with a chance near 0.99. Every proposal is verified on the whole texts, so unlike texts are never joined.
+    """
+
+    def scan(batches):
+        for b in batches:
+            fps = [short_fingerprints(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "fps"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = written(mapped(texts, scan, "doc_id long, row_hash long, fps array<long>"), "similar-documents")
+    once = rows.groupBy("row_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("fps").alias("fps"))
+    once = written(once, "similar-texts")
+    edges = None
+    for t in range(TABLES):
+        entries = written(once.select(F.col("fps")[t].alias("fp"), "row_hash").groupBy("fp").agg(F.min("row_hash").alias("text"), F.count(F.lit(1)).alias("size")), "similar-entries")
+        near = links(entries, RADIUS, direct=True)
+        near = near.join(entries.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(entries.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("ta", "tb")
+        same = join_groups(once.select("row_hash", F.col("fps")[t].alias("fp")), entries.filter("size > 1"), "fp", "size").filter("row_hash <> text").select(F.col("row_hash").alias("ta"), F.col("text").alias("tb"))
+        edges = near.unionByName(same) if edges is None else edges.unionByName(near).unionByName(same)
+    edges = written(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "similar-proposed")
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "similar-ends")
+
+    def cut(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(x, words) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["row_hash", "shingles"])
+
+    wanted = texts.select("row_hash", "text").join(small(ends), "row_hash", "left_semi").dropDuplicates(["row_hash"])
+    shingles = written(mapped(wanted, cut, "row_hash long, shingles array<long>"), "similar-shingles")
+    both = edges.join(shingles.select(F.col("row_hash").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("row_hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    linked = both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    roots = components(linked).withColumnRenamed("node", "row_hash")
+    named = written(once.select("row_hash", "first_id", "n").join(roots, "row_hash", "left").withColumn("root", F.coalesce("root", "row_hash")), "similar-roots")
+    groups = written(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "similar-groups")
+    known = written(join_groups(named, groups, "root", "size").select("row_hash", "n", "root", "component_id"), "similar-known")
+    return join_groups(rows.select("doc_id", "row_hash"), known, "row_hash", "n").select("doc_id", "row_hash", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of similar(), that with the smallest doc_id (then text hash); of rows repeated whole, one. All columns kept.
 
     What is looked up in the texts are the documents that go, as written tables: small ones are broadcast by their
-    measured size, larger ones joined by key.
+    count, larger ones joined by key.
     """
-    groups = written(near_duplicates(docs, shingle, reach), "simhash-near")
+    groups = written(similar(docs, words, similarity), "near-groups")
     who = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
-    first = written(groups.groupBy("component_id").agg(F.min(who).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-first")
-    members = join_groups(groups.filter("component_id is not null"), first, "component_id", "n")
-    gone = members.filter(~(who == F.col("f"))).select("doc_id", "row_hash").distinct()
-    # a group without any id is held together by its fingerprint
-    nameless = groups.filter("component_id is null").groupBy("fp").agg(F.min("row_hash").alias("least"))
-    gone = gone.unionByName(groups.filter("component_id is null").join(nameless, "fp").filter("row_hash <> least").select("doc_id", "row_hash").distinct())
+    first = written(groups.groupBy("root").agg(F.min(who).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-first")
+    gone = join_groups(groups, first, "root", "n").filter(~(who == F.col("f"))).select("doc_id", "row_hash").distinct()
     twice = groups.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "row_hash")
-    gone, twice = (written(x.withColumnsRenamed({"doc_id": "__sh_id", "row_hash": "__sh_hash"}), n) for x, n in ((gone, "simhash-gone"), (twice, "simhash-twice")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__sh_id")) & (F.xxhash64("text") == F.col("__sh_hash"))
-    left = docs.join(gone, same, "left_anti")
+    gone, twice = (written(x.withColumnsRenamed({"doc_id": "__sh_id", "row_hash": "__sh_hash"}), n) for x, n in ((gone, "near-gone"), (twice, "near-twice")))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__sh_id")) & (text_hash == F.col("__sh_hash"))
+    left = docs.join(small(gone), same, "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(twice, same, "left_semi").withColumn("__sh_text", F.xxhash64("text")).dropDuplicates(["doc_id", "__sh_text"]).drop("__sh_text")
-    return left.join(twice, same, "left_anti").unionByName(once)
+    once = left.join(small(twice), same, "left_semi").withColumn("__sh_text", text_hash).dropDuplicates(["doc_id", "__sh_text"]).drop("__sh_text")
+    return left.join(small(twice), same, "left_anti").unionByName(once)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

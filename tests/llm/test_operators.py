@@ -150,7 +150,9 @@ def test_tree_finds_every_pair(monkeypatch):
         if (new == up).all():
             break
         up = new
-    assert (simhash.link(fps, 2, size=64) == up).all()
+    union = simhash.link(fps, 2, size=64)
+    assert (union.of == up).all()
+    assert all(d[a, b].max() <= 2 for a, b in union.used)
     tree = simhash.Tree(fps, 100, 2)
     held = np.zeros((len(fps), len(fps)), dtype=bool)
     for _, rows in tree.route(fps):
