@@ -7,15 +7,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process made, for clear().
+MADE: list[str] = []
 
-def work_dir(spark: SparkSession, name: str = "work") -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, in local mode only, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, in local mode only, a temporary one, which is then set for the context."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        own = sc._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get()
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='nearledger-')}"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str = "work") -> str:
+    """A fresh folder's name in the shared one."""
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,3 +37,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     at = work_dir(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has put into the shared folder. Results that still read from it must have been written elsewhere before."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

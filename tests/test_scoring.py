@@ -166,3 +166,17 @@ def test_scores():
     assert evaluate.load_score(20, 0, 0, 100, 2500) == -6000
     assert SearchConfig.from_options({"nprobe": "x", "radius": "0.5"}) == SearchConfig(radius=0.5)
     assert SearchConfig.clamp(10_000, 4096) == 512 and SearchConfig(high_for_votes={3: 7}).high(3, 64) == 7
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from nearledger.sources import store
+
+    rows = store.stored(spark.range(5), "clear")
+    at = Path(store.MADE[-1].removeprefix("file://"))
+    assert rows.count() == 5 and at.exists()
+    kept, store.MADE[:] = store.MADE[:-1], store.MADE[-1:]
+    store.clear(spark)
+    store.MADE[:] = kept
+    assert not at.exists()
