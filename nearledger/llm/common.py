@@ -1,15 +1,15 @@
-"""What the operators share: tables, the shared folder, written tables, joins that survive hot keys."""
+"""What the operators share: words, tables, joins that survive hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..package import mapped  # noqa: F401  for the operators
+from ..package import mapped  # noqa: F401  these three for the operators
+from ..sources.store import stored as written  # noqa: F401
+from ..sources.store import work_dir as fresh_dir  # noqa: F401
 
 #: A side of at most so many narrow rows (some 50 MB as a hash table) may be broadcast once it is written and counted.
 BROADCAST_ROWS = 500_000
@@ -34,32 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, in local mode only, a temporary one."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='nearledger-')}"
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: later reads survive lost executors and repeat no work."""
-    at = fresh_dir(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def small(rows: DataFrame) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if its count allows it; beyond that, the join shuffles both sides."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
