@@ -291,3 +291,25 @@ def test_contexts_stop_at_a_text():
 
 def test_examples_are_plain_json():
     assert json.dumps(pii.examples()) == json.dumps(pii.examples())
+
+
+def test_base_generators_find_what_plain_patterns_find(spark):
+    import re
+
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    r = random.Random(12)
+    texts = ["".join(r.choice(of) for _ in range(r.randrange(40))) for _ in range(3000) for of in [r.choice(["a1.@", "a@.-_b", "12. -", "+1 ().-", "a1.@+ -_%é\n"])]]
+    texts += ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "1.2.3.4", "x@y", "+1", "4111 1111 1111 1111", "é@b.c", "a@b.c@d.e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.candidates(docs).collect():
+        for g, p in plain.items():
+            at, got = 0, []
+            for f in row.found:
+                if f.generator == g:
+                    at += f.gap
+                    got.append((at, f.match))
+                    at += len(f.match)
+            assert got == [(m.start(), m.group()) for m in re.finditer(p, texts[row.doc_id])], (g, texts[row.doc_id])
