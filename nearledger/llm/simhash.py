@@ -216,6 +216,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
 #: Similarity mode: several short fingerprints of two-word shingles, each with trees of its own, propose pairs; shared five-word shingles decide.
 TABLES, TABLE_BITS, PROPOSE = 8, 32, 2
 WORDS, SIMILARITY = 5, 0.8
+#: The upper half of a short fingerprint names its table, by words that differ in 16 bits, so that all tables share one tree and never link.
+NAMES = np.array([sum((t & j).bit_count() % 2 << j for j in range(32)) for t in range(TABLES)], dtype=np.uint64) << np.uint64(32)
 
 
 def short_fingerprints(text: bytes) -> list[int]:
@@ -228,7 +230,8 @@ def short_fingerprints(text: bytes) -> list[int]:
         octets = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2) for p in pairs]), dtype=np.uint8).reshape(-1, 32)
         for k in range(32):
             counts[k] += np.bincount(octets[:, k], minlength=256) @ BITS
-    return np.packbits((2 * counts > n).astype(np.uint8), axis=1).reshape(TABLES, TABLE_BITS // 8).copy().view("<u4").ravel().astype(np.int64).tolist()
+    bits = np.packbits((2 * counts > n).astype(np.uint8), axis=1).reshape(TABLES, TABLE_BITS // 8).copy().view("<u4").ravel()
+    return (NAMES | bits.astype(np.uint64)).view(np.int64).tolist()
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -254,13 +257,13 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     rows = written(mapped(texts, scan, "doc_id long, row_hash long, fps array<long>"), "similar-documents")
     once = rows.groupBy("row_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("fps").alias("fps"))
     once = written(once, "similar-texts")
-    edges = None
-    for t in range(TABLES):
-        entries = written(once.select(F.col("fps")[t].alias("fp"), "row_hash").groupBy("fp").agg(F.min("row_hash").alias("text"), F.count(F.lit(1)).alias("size")), "similar-entries")
-        near = links(entries, RADIUS, direct=True)
-        near = near.join(entries.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(entries.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("ta", "tb")
-        same = join_groups(once.select("row_hash", F.col("fps")[t].alias("fp")), entries.filter("size > 1"), "fp", "size").filter("row_hash <> text").select(F.col("row_hash").alias("ta"), F.col("text").alias("tb"))
-        edges = near.unionByName(same) if edges is None else edges.unionByName(near).unionByName(same)
+    placed = once.select("row_hash", F.explode("fps").alias("fp"))
+    entries = written(placed.groupBy("fp").agg(F.min("row_hash").alias("text"), F.count(F.lit(1)).alias("size")), "similar-entries")
+    near = written(links(entries, RADIUS, direct=True), "similar-near")
+    near = near.join(entries.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(entries.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("ta", "tb")
+    shared = written(entries.filter("size > 1"), "similar-shared")
+    same = join_groups(placed, shared, "fp", "size").filter("row_hash <> text").select(F.col("row_hash").alias("ta"), F.col("text").alias("tb"))
+    edges = near.unionByName(same)
     edges = written(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "similar-proposed")
     ends = written(edges.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "similar-ends")
 
