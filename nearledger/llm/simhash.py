@@ -15,6 +15,8 @@ rows; other columns are ignored. Long texts are taken in blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -156,8 +158,8 @@ def link(fps: np.ndarray, reach: int, size: int = SHARD) -> Union:
     return union
 
 
-def links(entries: DataFrame, reach: int = RADIUS, direct: bool = False) -> DataFrame:
-    """Edges (a, b) that connect what is within reach: a star for each component of each shard, or (direct) a spanning tree of pairs that are within reach themselves. entries: distinct fp, written."""
+def links(entries: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect what is within reach: a star for each component of each shard. entries: distinct fp, written."""
     spark, n = entries.sparkSession, entries.count()
     every = max(1, -(-n // SAMPLE))
     sample = np.array([r[0] for r in entries.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
@@ -174,8 +176,7 @@ def links(entries: DataFrame, reach: int = RADIUS, direct: bool = False) -> Data
         fps = np.sort(shard.column("fp").to_numpy())
         union = link(fps.view(np.uint64), reach)
         linked = np.flatnonzero(union.of != np.arange(len(fps)))
-        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*union.used, strict=True)) if direct and union.used else (linked, union.of[linked])
-        return pa.table({"a": fps[a], "b": fps[b]})
+        return pa.table({"a": fps[linked], "b": fps[union.of[linked]]})
 
     return mapped(entries.select("fp"), route, "shard int, fp long").groupBy("shard").applyInArrow(stars, "a long, b long")
 
@@ -213,58 +214,157 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     return join_groups(rows, known, "fp", "n").select("doc_id", "row_hash", "fp", "component_id")
 
 
-#: Similarity mode: several short fingerprints of two-word shingles, each with trees of its own, propose pairs; shared five-word shingles decide.
-TABLES, TABLE_BITS, PROPOSE = 8, 32, 2
+#: Similarity mode: shared five-word shingles decide.
 WORDS, SIMILARITY = 5, 0.8
-#: The upper half of a short fingerprint names its table, by words that differ in 16 bits, so that all tables share one tree and never link.
-NAMES = np.array([sum((t & j).bit_count() % 2 << j for j in range(32)) for t in range(TABLES)], dtype=np.uint64) << np.uint64(32)
+#: Shingles that are told to be common; hashes that a task holds, that a part counts, entries that a shard should hold.
+COMMON, HELD, COUNTED, ENTRIES = 2_000_000, 4_000_000, 2_000_000, 250_000
+#: Odd multipliers of the shingle hash.
+ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
+SHARED = "token long, text long, size int, place int, n long, centre boolean, hub long, star boolean"
 
 
-def short_fingerprints(text: bytes) -> list[int]:
-    """TABLES fingerprints of TABLE_BITS bits from two 128-bit hashes of each two-word shingle."""
-    words = blank_words(text)
-    counts, n = np.zeros((32, 8), dtype=np.int64), max(1, len(words) - PROPOSE + 1) if words else 0
-    for at in range(0, n, BLOCK):
-        part = words[at : min(at + BLOCK, n) + PROPOSE - 1]
-        pairs = [b"%b %b" % p for p in zip(part, part[1:], strict=False)] or part
-        octets = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2) for p in pairs]), dtype=np.uint8).reshape(-1, 32)
-        for k in range(32):
-            counts[k] += np.bincount(octets[:, k], minlength=256) @ BITS
-    bits = np.packbits((2 * counts > n).astype(np.uint8), axis=1).reshape(TABLES, TABLE_BITS // 8).copy().view("<u4").ravel()
-    return (NAMES | bits.astype(np.uint64)).view(np.int64).tolist()
-
-
-def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
+def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles, as signed numbers."""
     w = blank_words(text)
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))] if w else [], dtype=np.uint64).view(np.int64)).tolist()
-
+    size = min(words, len(w))
+    n = len(w) - size + 1 if w else 0
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
+    h = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        h += own[k : k + n] * ODD[k % 64]
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def common_shingles(texts: DataFrame, words: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the commonest shingles in two rows or more, COMMON at most. size: bytes of all texts."""
+    parts = min(60_000, max(1, -(-size // (6 * COUNTED))))
+    share = -(-COMMON // parts)
+
+    def split(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        part = (h.view(np.uint64) % np.uint64(parts)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        h, ends = h[order], np.cumsum(np.bincount(part, minlength=parts)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([h[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], names=["part", "h"])
 
-def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, row_hash, component_id, the smallest doc_id that pairs of texts with Jaccard similarity of at least
-    `similarity` over distinct shingles of `words` words reach. Equal texts are similar, also empty ones.
-
-    Proposals are exact within two bits in each of eight 32-bit fingerprints; a pair at the threshold is proposed in
-    some table with a chance near 0.99. Every proposal is verified on the whole texts, so unlike texts are never joined.
-    """
+    def scan(batches):
+        held, n = [], 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                held.append(shingle_hashes(x, words))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield split(held)
+                    held, n = [], 0
+        if held:
+            yield split(held)
+
+    def count(part: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in part.column("h").to_pylist()]))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        c = np.diff(first, append=len(h))
+        h, c = h[first][c > 1], c[c > 1]
+        if len(h) > share:
+            most = np.lexsort((h, -c))[:share]
+            h, c = h[most], c[most]
+        return pa.table({"h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([np.minimum(c, 1 << 30).astype(np.int32).tobytes()], pa.binary())})
+
+    got = mapped(texts.select("text"), scan, "part int, h binary").groupBy("part").applyInArrow(count, "h binary, c binary").collect()
+    h, c = (np.concatenate([np.zeros(0, dtype=t), *(np.frombuffer(r[k], dtype=t) for r in got)]) for k, t in ((0, np.int64), (1, np.int32)))
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def within(similarity: float, size, place, size_b, place_b) -> np.ndarray:
+    """Whether two texts whose first shared shingle is at these places may still share enough."""
+    return (1 + similarity) * np.minimum(size - place, size_b - place_b) >= similarity * (size + size_b) - 1e-6
+
+
+def shared_prefixes(texts: DataFrame, words: int, similarity: float, size: int) -> DataFrame:
+    """A row for each shingle of a text's prefix that another text's prefix has too. Each shingle has a centre, one of its n texts; hub is the centre's text, star whether the two may be similar."""
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words, size))
+    shards = max(1, int(size / 6 * (1 - similarity) / ENTRIES))
 
     def scan(batches):
+        common, counts = sent.value
         for b in batches:
-            fps = [short_fingerprints(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "fps"])
+            tokens, ids, sizes, seen = [], [], [], set()
+            for text, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text in seen:
+                    continue
+                seen.add(text)
+                h = shingle_hashes(x, words)
+                n, c = len(h), np.zeros(len(h), dtype=np.int32)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    c = np.where(common[at] == h, counts[at], 0)
+                tokens.append(h[np.argsort(c, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else np.zeros(1, dtype=np.int64))
+                ids.append(text)
+                sizes.append(n)
+            if not ids:
+                continue
+            lengths = [len(t) for t in tokens]
+            token = np.concatenate(tokens)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+            shard = (token.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            columns = [shard, token, np.repeat(np.array(ids, dtype=np.int64), lengths), np.repeat(np.array(sizes, dtype=np.int32), lengths), place]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "token", "text", "size", "place"])
+
+    def meet(shard: pa.Table) -> pa.Table:
+        token, text, size, place = (shard.column(x).to_numpy() for x in ("token", "text", "size", "place"))
+        mixed = (token ^ text).view(np.uint64) * ODD[0]  # every shingle draws its own centre
+        order = np.lexsort((mixed, token))
+        token, text, size, place = token[order], text[order], size[order], place[order]
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (text[1:] != text[:-1])])[: len(token)]
+        token, text, size, place = token[once], text[once], size[once], place[once]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+        n = np.diff(first, append=len(token))
+        hub, many = np.repeat(first, n), np.repeat(n, n)
+        centre = hub == np.arange(len(token))
+        star = ~centre & within(similarity, size, place, size[hub], place[hub])
+        keep = many > 1
+        columns = [token, text, size, place, many, centre, text[hub], star]
+        return pa.table({name.split()[0]: x[keep] for name, x in zip(SHARED.split(", "), columns, strict=True)})
+
+    return mapped(texts.select("row_hash", "text"), scan, "shard int, token long, text long, size int, place int").groupBy("shard").applyInArrow(meet, SHARED)
+
+
+def unjoined_pairs(entries: DataFrame, similarity: float, shards: int) -> DataFrame:
+    """Pairs (a, b) of texts at one shingle that may be similar and have different roots, each of them. entries: token, text, size, place, root."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        token, text, size, place, root = (t.column(x).to_numpy() for x in ("token", "text", "size", "place", "root"))
+        order = np.lexsort((root, token))
+        token, text, size, place, root = token[order], text[order], size[order], place[order], root[order]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (root[1:] != root[:-1])])[: len(token)])
+        runs = np.diff(first, append=len(token))
+        # a row meets the rows of its shingle behind its own root's, one after the other
+        row, other, found, n = np.arange(len(token)), np.repeat(first + runs, runs), [], 0
+        while True:
+            live = other < len(token)
+            row, other = row[live], other[live]
+            live = token[row] == token[other]
+            row, other = row[live], other[live]
+            if len(row):
+                near = within(similarity, size[row], place[row], size[other], place[other])
+                found.append(np.stack([text[row[near]], text[other[near]]]))
+                n += found[-1].shape[1]
+                other = other + 1
+            if n >= PAIRS or (n and not len(row)):
+                both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                found, n = [], 0
+            if not len(row):
+                return
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = written(mapped(texts, scan, "doc_id long, row_hash long, fps array<long>"), "similar-documents")
-    once = rows.groupBy("row_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("fps").alias("fps"))
-    once = written(once, "similar-texts")
-    placed = once.select("row_hash", F.explode("fps").alias("fp"))
-    entries = written(placed.groupBy("fp").agg(F.min("row_hash").alias("text"), F.count(F.lit(1)).alias("size")), "similar-entries")
-    near = written(links(entries, RADIUS, direct=True), "similar-near")
-    near = near.join(entries.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(entries.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("ta", "tb")
-    shared = written(entries.filter("size > 1"), "similar-shared")
-    same = join_groups(placed, shared, "fp", "size").filter("row_hash <> text").select(F.col("row_hash").alias("ta"), F.col("text").alias("tb"))
-    edges = near.unionByName(same)
-    edges = written(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "similar-proposed")
+    shard = F.pmod("token", F.lit(shards)).cast("int").alias("shard")
+    return entries.select(shard, "token", "text", "size", "place", "root").groupBy("shard").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts, written, that are similar, by their whole texts."""
     ends = written(edges.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "similar-ends")
 
     def cut(batches):
@@ -275,12 +375,36 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     shingles = written(mapped(wanted, cut, "row_hash long, shingles array<long>"), "similar-shingles")
     both = edges.join(shingles.select(F.col("row_hash").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("row_hash").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    roots = components(linked).withColumnRenamed("node", "row_hash")
-    named = written(once.select("row_hash", "first_id", "n").join(roots, "row_hash", "left").withColumn("root", F.coalesce("root", "row_hash")), "similar-roots")
+    return written(both.filter(shared + 1e-6 >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "similar-linked")
+
+
+def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, row_hash, root, component_id, the smallest doc_id that pairs of texts with Jaccard similarity of at least
+    `similarity` over distinct shingles of `words` words reach. Equal texts are similar, also empty ones.
+
+    Exact but for colliding 64-bit hashes. With shingles in one order for all texts, common ones last, texts that are similar share one within
+    their prefixes, the first fifth at 0.8 (prefix filtering). First each such shingle's texts are held against one of them,
+    its centre; then all pairs at a shingle that are still in different components are, so that no pair goes unseen. Both are
+    verified on whole texts. Texts that are nearly similar to many others (templates with over four fifths in common) cost their pairs.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = written(texts.select("doc_id", "row_hash"), "similar-documents")
+    once = written(rows.groupBy("row_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "similar-texts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = written(shared_prefixes(texts, words, similarity, size), "similar-shared")
+    stars = written(shared.filter("star").select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b")).distinct(), "similar-stars")
+    linked = verified(stars, texts, words, similarity)
+    roots = components(linked).withColumnRenamed("node", "text")
+    crowded = shared.filter("n > 2 and not centre").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text"))
+    rest = written(unjoined_pairs(crowded, similarity, max(1, -(-shared.count() // ENTRIES))), "similar-rest")
+    if not rest.isEmpty():
+        linked = linked.unionByName(verified(rest, texts, words, similarity))
+        roots = components(linked).withColumnRenamed("node", "text")
+    roots = roots.withColumnRenamed("text", "row_hash")
+    named = written(once.join(roots, "row_hash", "left").withColumn("root", F.coalesce("root", "row_hash")), "similar-roots")
     groups = written(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "similar-groups")
     known = written(join_groups(named, groups, "root", "size").select("row_hash", "n", "root", "component_id"), "similar-known")
-    return join_groups(rows.select("doc_id", "row_hash"), known, "row_hash", "n").select("doc_id", "row_hash", "root", "component_id")
+    return join_groups(rows, known, "row_hash", "n").select("doc_id", "row_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
