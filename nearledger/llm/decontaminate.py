@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import mapped, plain_words, table, written
 
@@ -150,25 +151,31 @@ def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, drop_documents:
     at = docs.columns.index("text")
     blocks = _blocks(bench)
     held = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
+    marked = StructType([*schema.fields, StructField("__dc_spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
     out = docs
-    # What a block's passages leave is what the next block scans; spans are found before any cut in that block.
+    # Spans of all blocks are found on uncut texts and go along in a column; the last block's scan cuts.
     for block in range(blocks):
         sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in held.filter(F.col("block") == block).select("item_id", "text").collect()])
 
-        def scan(batches, sent=sent):
+        def scan(batches, sent=sent, first=block == 0, last=block == blocks - 1):
             windows = Windows(sent.value, n)
             for b in batches:
-                texts, keep = b.column(at).cast(pa.binary()).to_pylist(), []
-                for i, text in enumerate(texts):
-                    spans = windows.hits(text)[1] if text is not None else []
+                arrays = list(b.columns)
+                texts, keep = arrays[at].cast(pa.binary()).to_pylist(), []
+                before = [()] * len(texts) if first else [[(x["start"], x["end"]) for x in row] for row in arrays.pop().to_pylist()]
+                found = [merge([*old, *windows.hits(text)[1]]) if text is not None else [] for text, old in zip(texts, before, strict=True)]
+                if not last:
+                    spans = pa.array([[{"start": s, "end": e} for s, e in row] for row in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([*arrays, spans], names=marked.names)
+                    continue
+                for i, spans in enumerate(found):
                     if spans:
-                        texts[i] = cut(text, spans)
+                        texts[i] = cut(texts[i], spans)
                     keep.append(not spans or (not drop_documents and WORD.search(texts[i]) is not None))
-                arrays = list(b.columns)
-                arrays[at] = pa.array(texts, pa.binary()).cast(b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+                arrays[at] = pa.array(texts, pa.binary()).cast(arrays[at].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names).filter(pa.array(keep, pa.bool_()))
 
-        out = mapped(out, scan, schema)
+        out = mapped(out, scan, schema if block == blocks - 1 else marked)
     return out
 
 
