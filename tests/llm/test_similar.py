@@ -50,3 +50,22 @@ def test_copies_inside_a_template_family(spark, monkeypatch, common):
     want = components(texts)
     assert sum(i != c for i, c in enumerate(want)) == 30
     assert found(spark, texts) == want
+
+
+def test_copies_with_any_kind_of_edit(spark):
+    r, texts, pairs = random.Random(8), [], []
+    for k in range(120):
+        page = words(r, 400)
+        other, part = list(page), r.randrange(70, 96)
+        if k % 3 == 0:
+            other += words(r, part)  # a footer
+        elif k % 3 == 1:
+            at = r.randrange(300)
+            other[at : at + part // 2] = words(r, part // 2)  # a paragraph
+        else:
+            for at in range(0, 400, 4000 // part):
+                other[at] = words(r, 1)[0]  # single words
+        pairs.append(jaccard(" ".join(page), " ".join(other)))
+        texts += [" ".join(page), " ".join(other)]
+    assert all(sum(x >= 0.8 for x in pairs[k::3]) >= 20 for k in range(3)) and min(pairs) < 0.8
+    assert found(spark, texts) == [2 * (i // 2) if pairs[i // 2] >= 0.8 else i for i in range(len(texts))]
