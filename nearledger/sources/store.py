@@ -36,11 +36,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: what is read several times is computed once, and survives lost executors."""
     at = work_dir(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing will read again."""
+    for t in tables:
+        at = t._stored_at
+        _delete(t.sparkSession, at)
+        if at in MADE:
+            MADE.remove(at)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what this process has put into the shared folder. Results that still read from it must have been written elsewhere before."""
     while MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, MADE.pop())
