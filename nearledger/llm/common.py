@@ -7,7 +7,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..package import mapped  # noqa: F401  these three for the operators
+from ..package import mapped  # noqa: F401  these four for the operators
+from ..sources.store import discard  # noqa: F401
 from ..sources.store import stored as written  # noqa: F401
 from ..sources.store import work_dir as fresh_dir  # noqa: F401
 
@@ -39,6 +40,13 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it as long as there is such a column."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -5,14 +5,19 @@ other. Lines are compared without blanks at their ends; lines of fewer than `lea
 
 1. Every line leaves the scan as an MD5 key and four hashes of its halves. One edit leaves one half as it was, so only
    lines that share a half's hash with another line can have a partner; the rest, nearly all, is done here.
-2. Lines that are left give all their one-character deletions as hashed keys. The keys are running sums over the characters, so
-   a line of n characters costs n rows, not n texts. Two keys are kept apart: deletion at a place (lines of equal length that share
-   it differ in that character alone) and the deletion's whole text (shared with a line that is one shorter).
+2. Lines that are left give all their one-character deletions as hashed keys of 128 bits. The keys are running exclusive-ors over hashes of
+   characters and their places, so a line of n characters costs n rows, not n texts, and no length overflows. Two keys are kept
+   apart: deletion at a place (lines of equal length that share it differ in that character alone) and the deletion's whole text (shared
+   with a line that is one shorter).
 3. A key's earliest line stands for the key, by a minimum that is partly formed before the shuffle; each other line meets only that one.
    The edit distance is then verified on the texts.
 
+The plan is the same at every size: nothing is broadcast but hot halves and variants (a thousand at most each). Lines' texts are shuffled once,
+to meet the suspects, and whole texts once, to meet what goes.
+
 Edge cases: null and empty texts and blank lines stay as they are; an occurrence at the same doc_id and line number as the earliest (repeated
-rows) stays too; null ids come first; extra columns are kept; an empty table gives an empty one. Lines may have up to two million characters.
+rows) stays too; null ids come first; rows of one doc_id with different texts are told apart by their texts; extra columns of any name are kept; an empty table
+gives an empty one; a line may be as long as a text.
 """
 
 from __future__ import annotations
@@ -20,11 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, small, table, written
+from .common import discard, free_name, join_groups, table, written
 
 LEAST_CHARS = 20
-#: Bits of a character's hash; a sum over two million of them fits a long.
-BITS = (1 << 42) - 1
 
 AT, LONG, SELF = 0, 1, 2
 
@@ -57,6 +60,13 @@ def _order(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def _place(order: Column) -> tuple[Column, Column]:
+    """doc_id (the least number for null) and line number of an order."""
+    each = F.lit(1 << 31).cast("decimal(10,0)")
+    line_no = F.pmod(order, each).cast("decimal(10,0)")
+    return F.call_function("div", order - line_no, each).cast("long"), line_no.cast("int")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash (of the text), line_no (from 0) and line (trimmed) of all lines that count."""
     split = F.split(F.coalesce("text", F.lit("")), NEWLINE, -1)
@@ -68,97 +78,131 @@ def _long(rows: DataFrame, least_chars: int) -> DataFrame:
     return rows.filter(F.length("line") >= least_chars)
 
 
-def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
-    """Order of lines with an earlier line within one edit. first: written, one row per distinct line; rows: lines() of the documents."""
-    halves = first.select("order", "n_chars", F.posexplode(F.array(*HALVES)).alias("which", "half"))
-    shared = halves.groupBy("half").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a <> b").select("half")
-    hit = halves.join(shared, "half", "left_semi").groupBy("order", "n_chars").agg(
-        F.max(F.col("which").isin(0, 2)).alias("edit_late"), F.max(F.col("which").isin(1, 3)).alias("edit_early")
+def suspects(first: DataFrame) -> DataFrame:
+    """doc, line_no, id, edit_late, edit_early of lines that share a half with another line, and where an edit may be. first: written, one row per distinct line."""
+    doc, line_no = _place(F.col("order"))
+    placed = first.select("id", doc.alias("doc"), line_no.cast("long").alias("line_no"), *HALVES)
+    halves = placed.select("id", "doc", "line_no", F.posexplode(F.array(*HALVES)).alias("which", "half")).select("half", "id", "doc", (F.col("line_no") * 4 + F.col("which")).alias("place"))
+    # a line's four hashes differ, so a half that occurs twice is shared
+    shared = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-halves")
+    which = F.col("place") % 4
+    hit = join_groups(halves, shared, "half", "n").groupBy("doc", F.floor(F.col("place") / 4).cast("int").alias("line_no"), "id").agg(
+        F.max(which.isin(0, 2)).alias("edit_late"), F.max(which.isin(1, 3)).alias("edit_early")
     )
-    suspects = written(hit, "line-suspects")
+    hit = written(hit, "line-suspects")
+    discard(shared)
+    return hit
+
+
+def within_one(x: Column, y: Column) -> Column:
+    """Whether two texts are within one edit: what follows their first difference agrees. That place is found by halving, since levenshtein() takes
+    quadratic time, also with a threshold."""
+    n, m = F.length(x), F.length(y)
+    middle = lambda a: F.floor((a["low"] + a["high"] + 1) / 2).cast("int")
+    agrees = lambda a: F.left(x, middle(a)) == F.left(y, middle(a))
+    start = F.struct(F.lit(0).alias("low"), F.least(n, m).alias("high"))
+    halved = lambda a, _: F.when(a["low"] == a["high"], a).when(agrees(a), F.struct(middle(a).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), (middle(a) - 1).alias("high")))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halved)["low"]
+    rest = lambda line, skip: F.substring(line, at + 1 + skip, F.greatest(n, m))
+    return F.when(n == m, rest(x, 1) == rest(y, 1)).when(n == m + 1, rest(x, 1) == rest(y, 0)).when(n + 1 == m, rest(x, 0) == rest(y, 1)).otherwise(False)
+
+
+def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """order and id of lines with an earlier line within one edit. first: written, one row per distinct line; rows: lines() of the documents."""
+    hit = suspects(first)
     # the text of a line is fetched where it stands first
-    placed = rows.select(_order(F.col("doc_id"), F.col("line_no")).alias("order"), "line")
-    texts = placed.join(small(suspects), "order").filter(F.length("line") == F.col("n_chars"))
-    texts = written(texts.select("order", "n_chars", "edit_late", "edit_early", "line").dropDuplicates(["order"]), "line-texts")
-
-    chars = texts.select("order", "n_chars", "edit_late", "edit_early", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), 0)).alias("i", "c"))
-    chars = chars.withColumns({"here": F.xxhash64("i", "c").bitwiseAND(F.lit(BITS)), "moved": F.xxhash64(F.col("i") - 1, "c").bitwiseAND(F.lit(BITS))}).drop("c")
-    line = Window.partitionBy("order")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = chars.select(
-        "order", "n_chars", "i", "edit_late", "edit_early",
-        (F.sum("here").over(upto) - F.col("here") - F.sum("moved").over(upto)).alias("before"), F.sum("here").over(line).alias("whole"), F.sum("moved").over(line).alias("all_moved"),
-    )
-    deleted = F.col("before") + F.col("all_moved")
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
+    placed = rows.select(doc, "line_no", F.xxhash64("line").alias("id"), "line", _order(F.col("doc_id"), F.col("line_no")).alias("order"))
+    texts = placed.join(hit, ["doc", "line_no", "id"]).select("order", "id", "edit_late", "edit_early", "line")
+    texts = written(texts.dropDuplicates(["order", "id"]), "line-texts")
+    discard(hit)
+
+    dealt = texts.repartition("order", "id")  # the windows below go by these: rows of characters are not shuffled again
+    chars = dealt.select("order", "id", "edit_late", "edit_early", F.regexp_extract_all("line", F.lit("(?s)."), 0).alias("chars"))
+    mixed = lambda seed, at, c: F.xxhash64(F.lit(seed), at, c)
+    total = lambda seed, back: F.aggregate(F.transform("chars", lambda c, i: mixed(seed, i - back, c)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    # summed up before the characters become rows
+    chars = chars.withColumns({"n_chars": F.size("chars"), **{f"whole_{s}": total(s, 0) for s in (1, 2)}, **{f"moved_{s}": total(s, 1) for s in (1, 2)}})
+    whole = chars.select(*[c for c in chars.columns if c != "chars"], F.posexplode("chars").alias("i", "c"))
+    upto = Window.partitionBy("order", "id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = {s: mixed(s, F.col("i"), F.col("c")) for s in (1, 2)}
+    both = {s: here[s].bitwiseXOR(mixed(s, F.col("i") - 1, F.col("c"))) for s in (1, 2)}
+    # what stands before a character, at its place, and what follows it, moved up by one
+    left = whole.withColumns({f"left_{s}": F.bit_xor(both[s]).over(upto).bitwiseXOR(here[s]).bitwiseXOR(F.col(f"moved_{s}")) for s in (1, 2)})
     wanted = (F.col("edit_late") & (F.col("i") >= F.floor((F.col("n_chars") - 1) / 2))) | (F.col("edit_early") & (F.col("i") <= F.floor(F.col("n_chars") / 2)))
+
+    def make(kind: int, tag: str, *of: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(tag), *of).alias("v"), F.xxhash64(*reversed(of), F.lit(tag)).alias("w"), F.lit(kind).cast("byte").alias("kind"))
+
     # AT: a character taken out at a place; LONG: the text that this leaves; SELF: the text of the line itself
-    make = lambda kind, *of: F.struct(F.xxhash64(*of).alias("variant"), F.lit(kind).cast("byte").alias("kind"))
+    n, a, b = F.col("n_chars"), F.col("left_1"), F.col("left_2")
     keys = F.filter(
         F.array(
-            F.when(wanted, make(AT, F.lit("at"), F.col("n_chars"), F.col("i"), deleted)),
-            F.when(wanted, make(LONG, F.lit("text"), F.col("n_chars") - 1, deleted)),
-            F.when(F.col("i") == 0, make(SELF, F.lit("text"), F.col("n_chars"), F.col("whole"))),
+            F.when(wanted, make(AT, "at", n, F.col("i"), a, b)),
+            F.when(wanted, make(LONG, "text", n - 1, a, b)),
+            F.when(F.col("i") == 0, make(SELF, "text", n, F.col("whole_1"), F.col("whole_2"))),
         ),
         lambda x: x.isNotNull(),
     )
-    variants = written(sums.select("order", F.explode(keys).alias("v")).select("v.variant", "v.kind", "order"), "line-variants")
+    variants = written(left.select("order", "id", F.explode(keys).alias("k")).select(F.struct("k.v", "k.w").alias("variant"), "k.kind", "order", "id"), "line-variants")
     least = variants.groupBy("variant").agg(
-        F.min(F.when(F.col("kind") != SELF, F.col("order"))).alias("long"), F.min(F.when(F.col("kind") == SELF, F.col("order"))).alias("self"), F.min("order").alias("a"), F.max("order").alias("b")
-    ).filter("a <> b")
-    least = written(least.select("variant", "long", "self"), "line-variants-met")
+        F.min(F.when(F.col("kind") != SELF, F.col("order"))).alias("long"), F.min(F.when(F.col("kind") == SELF, F.col("order"))).alias("self"),
+        F.min("order").alias("a"), F.max("order").alias("b"), F.count(F.lit(1)).alias("n"),
+    ).filter("a <> b")
+    least = written(least.select("variant", "long", "self", "n"), "line-variants-met")
     # lines that share a place differ there alone; a longer line meets the text that it leaves, and that text the earliest longer one
     by = F.when(F.col("kind") == LONG, F.col("self")).otherwise(F.col("long"))
-    pairs = variants.join(least, "variant").withColumn("by", by).filter(F.col("by") < F.col("order"))
-    pairs = written(pairs.select("order", "by").distinct(), "line-pairs")
-    side = texts.select("order", "line")
-    checked = pairs.join(side, "order").join(side.withColumnsRenamed({"order": "by", "line": "by_line"}), "by")
-    return checked.filter(F.levenshtein("line", "by_line", 1) >= 0).select("order").distinct()
+    pairs = join_groups(variants, least, "variant", "n").withColumn("by", by).filter(F.col("by") < F.col("order"))
+    pairs = written(pairs.select("order", "id", "by").distinct(), "line-pairs")
+    discard(variants, least)
+    side = texts.select("order", "id", "line")
+    checked = pairs.join(side, ["order", "id"]).join(side.select(F.col("order").alias("by"), F.col("line").alias("by_line")), "by")
+    return checked.filter(within_one(F.col("line"), F.col("by_line"))).select("order", "id").distinct()
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:
     """doc_id, row_hash, line_no, near (not equal to an earlier line, but within an edit) of each line that goes."""
     rows = _long(lines(docs), least_chars)
-    n = F.length("line")
-    keyed = written(rows.select("doc_id", "row_hash", "line_no", _key(F.col("line")).alias("key"), n.alias("n_chars"), *_halves(F.col("line"), n)), "line-keys")
-    first = keyed.groupBy("key").agg(
-        F.min(_order(F.col("doc_id"), F.col("line_no"))).alias("order"), F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("n_chars"), *[F.max(h).alias(h) for h in HALVES]
-    )
+    keyed = written(rows.select("doc_id", "row_hash", "line_no", _key(F.col("line")).alias("key"), F.xxhash64("line").alias("id"), *_halves(F.col("line"), F.length("line"))), "line-keys")
+    first = keyed.groupBy("key").agg(F.min(_order(F.col("doc_id"), F.col("line_no"))).alias("order"), F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), *[F.max(h).alias(h) for h in HALVES])
     first = written(first, "line-first")
-    repeated = first.select("key", "order", "n")
+    repeated = first.select("key", "order", "id", "n")
     if near:
-        gone = near_lines(first, rows).withColumn("gone", F.lit(True))
-        repeated = repeated.join(gone, "order", "left").filter("n > 1 or gone").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        gone = written(near_lines(first, rows).withColumn("gone", F.lit(True)), "line-near")
+        repeated = repeated.join(gone, ["order", "id"], "left").filter("n > 1 or gone").withColumn("gone", F.coalesce("gone", F.lit(False)))
     else:
         repeated = repeated.filter("n > 1").withColumn("gone", F.lit(False))
-    repeated = written(repeated.withColumnRenamed("order", "first_order"), "line-gone")
+    repeated = written(repeated.select("key", F.col("order").alias("first_order"), "n", "gone"), "line-gone")
+    discard(first)
     met = join_groups(keyed.select("doc_id", "row_hash", "line_no", "key"), repeated, "key", "n")
     is_first = _order(F.col("doc_id"), F.col("line_no")) == F.col("first_order")
     return met.filter(F.col("gone") | ~is_first).select("doc_id", "row_hash", "line_no", is_first.alias("near"))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:
-    """The documents without repeated lines, all columns kept, and columns _n_lines, _n_exact, _n_near."""
+    """The documents without repeated lines, all columns kept, and as the last column a struct: n_lines, n_exact, n_near and left, the
+    share of the text's characters that stay (1 for an empty text). It is called line_counts, or that with underscores where documents have such a column."""
     drops = dropped_lines(docs, least_chars, near).groupBy("doc_id", "row_hash").agg(
-        F.collect_set("line_no").alias("__ld_drops"), F.countDistinct(F.when(F.col("near"), F.col("line_no"))).alias("__ld_near")
+        F.collect_set("line_no").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("line_no"))).alias("n_near")
     )
-    drops = written(drops, "line-drops").withColumnsRenamed({"doc_id": "__ld_id", "row_hash": "__ld_hash"})
-    split = F.split(F.coalesce("text", F.lit("")), NEWLINE, -1)
-    met = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__ld_id")) & (F.xxhash64("text") == F.col("__ld_hash")), "left")
-    met = met.withColumn("__ld_lines", split)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_drops"))
-    text = F.when(F.col("__ld_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__ld_lines", i)), NEWLINE))
-    n = F.coalesce(F.size("__ld_drops"), F.lit(0)).cast("long")
-    n = F.when(F.col("__ld_drops").isNull(), F.lit(0)).otherwise(n).cast("long")
-    near_n = F.coalesce("__ld_near", F.lit(0)).cast("long")
-    return met.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.size("__ld_lines").cast("long").alias("_n_lines"), (n - near_n).alias("_n_exact"), near_n.alias("_n_near"))
+    drops = written(drops, "line-drops")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # so that no name clashes
+    before = F.col("doc.text")
+    met = rows.join(drops, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(before) == F.col("row_hash")), "left")
+    met = met.withColumn("lines", F.split(F.coalesce(before, F.lit("")), NEWLINE, -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    met = met.withColumn("after", F.when(F.col("gone").isNull(), before).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), NEWLINE)))
+    n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)).cast("long"), F.coalesce("n_near", F.lit(0)).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n_gone).cast("long")
+    left = F.when(F.col("gone").isNull(), F.lit(1.0)).otherwise(F.length("after") / F.length(before))
+    counts = F.struct(F.size("lines").cast("long").alias("n_lines"), (n_gone - n_near).alias("n_exact"), n_near.alias("n_near"), left.alias("left"))
+    return met.select(*[(F.col("after") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns], counts.alias(free_name("line_counts", docs.columns)))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
-    )
+    counts = [F.col(out.columns[-1])[c].alias(c) for c in ("n_lines", "n_exact", "n_near")]
+    return out.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 OP7_SQL = r"""

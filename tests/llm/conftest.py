@@ -5,7 +5,7 @@ ODD = [
     (1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "word"), (5, "word"), (5, "word"), (None, "word"), (None, None), (6, "Two words"), (7, "äöü ß 日本語 😀 é  x"),
     (8, "a" * 50_000), (9, "the quick brown fox jumps over the lazy dog\n" * 3_000), (10, "x y z " * 20_000), (11, "\u0000\u0001 nul"), (12, "!!! ??? ..."), (13, "line one is long enough here\r\nline one is long enough here\r\n"),
 ]
-CLASHING = ["key", "digest", "fp", "n", "rid", "order", "line", "line_no", "row_hash", "word", "start", "end", "spans", "score", "x", "part", "rank", "length", "_d", "_r", "_n", "id", "found", "halves"]
+CLASHING = ["key", "digest", "fp", "n", "rid", "order", "line", "line_no", "row_hash", "word", "start", "end", "spans", "score", "x", "part", "rank", "length", "_d", "_r", "_n", "id", "found", "halves", "_n_exact", "_n_near", "_n_lines", "line_counts", "doc", "gone", "block", "n_words", "page_id"]
 
 
 @pytest.fixture(scope="session")

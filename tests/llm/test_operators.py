@@ -138,6 +138,41 @@ def test_near_lines_with_planted_edits(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_lines_of_any_length_and_heat(spark):
+    long = "ab c" * 15_000
+    rows = [(1, long), (2, long[:-5] + "X" + long[-4:]), (3, long[:100] + long[101:]), (4, long[:100] + "QQ" + long[101:]), (5, "an ordinary line that stays here")]
+    # a first half that most lines share, equal ids with other texts
+    rows += [(100 + i, f"2024-01-01T00:00:00 worker of the cluster says {i * 7919:>40}") for i in range(300)]
+    rows += [(7, "two rows of one id, the first"), (7, "two rows of one id, the other"), (8, "two rows of one id, the Other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_counts.n_near) for r in line_dedup.dedup_lines(docs).collect() if r.line_counts.n_near or r.line_counts.n_exact}
+    texts = {}
+
+    def near(x):
+        return any(line == x or line_dedup_within_one(line, x) for line in texts)
+
+    want = set()
+    for i, x in sorted(rows, key=lambda r: r[0]):
+        if i != 7 and near(x):
+            want.add((i, 1))
+        texts[x] = i
+    assert got == want and {(2, 1), (3, 1), (8, 1)} <= got
+
+
+def line_dedup_within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def test_what_a_line_loses_is_counted(spark):
+    passage = "\n".join(f"a passage that is found twice, its line {i} of ten or so" for i in "abcdefghij")
+    docs = spark.createDataFrame([(1, passage), (2, passage + "\nAnd."), (3, "its own words come first, and they are many more than a tenth\n" + passage)], "doc_id long, text string")
+    left = {r.doc_id: r.line_counts.left for r in line_dedup.dedup_lines(docs).collect()}
+    assert left[1] == 1 and left[2] < 0.1 < left[3] < 0.5
+
+
 def test_tree_finds_every_pair(monkeypatch):
     r = np.random.default_rng(4)
     centres = r.integers(0, 1 << 63, 300, dtype=np.uint64)
