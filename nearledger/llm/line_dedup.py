@@ -12,7 +12,7 @@ other. Lines are compared without blanks at their ends; lines of fewer than `lea
 3. A key's earliest line stands for the key, by a minimum that is partly formed before the shuffle; each other line meets only that one.
    The edit distance is then verified on the texts.
 
-The plan is the same at every size: nothing is broadcast but hot halves and variants (a thousand at most each). Lines' texts are shuffled once,
+The plan is the same at every size: suspects meet the lines by a sort-merge join, hot halves and variants alone (a thousand at most each) are broadcast. Lines' texts are shuffled once,
 to meet the suspects, and whole texts once, to meet what goes.
 
 Edge cases: null and empty texts and blank lines stay as they are; an occurrence at the same doc_id and line number as the earliest (repeated
@@ -113,11 +113,12 @@ def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
     # the text of a line is fetched where it stands first
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
     placed = rows.select(doc, "line_no", F.xxhash64("line").alias("id"), "line", _order(F.col("doc_id"), F.col("line_no")).alias("order"))
-    texts = placed.join(hit, ["doc", "line_no", "id"]).select("order", "id", "edit_late", "edit_early", "line")
+    texts = placed.join(hit.hint("merge"), ["doc", "line_no", "id"]).select("order", "id", "edit_late", "edit_early", "line")
     texts = written(texts.dropDuplicates(["order", "id"]), "line-texts")
     discard(hit)
 
-    dealt = texts.repartition("order", "id")  # the windows below go by these: rows of characters are not shuffled again
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(parts, "order", "id")  # a character becomes up to three rows; the windows below go by these: rows of characters are not shuffled again
     chars = dealt.select("order", "id", "edit_late", "edit_early", F.regexp_extract_all("line", F.lit("(?s)."), 0).alias("chars"))
     mixed = lambda seed, at, c: F.xxhash64(F.lit(seed), at, c)
     total = lambda seed, back: F.aggregate(F.transform("chars", lambda c, i: mixed(seed, i - back, c)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))

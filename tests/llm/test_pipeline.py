@@ -15,6 +15,10 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
 def strip(line):
     return line.strip(" \t\r\x0b\x0c")
 
@@ -54,7 +58,7 @@ def plain_lines(docs):
 def plain_near(docs, words=5, similarity=0.8):
     sets = {}
     for d, text in docs:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        w = lower(text).split()
         sets[d] = frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
     up = {d: d for d in sets}
     ids = sorted(sets)
@@ -70,12 +74,12 @@ def plain_near(docs, words=5, similarity=0.8):
 def plain_cut(docs, bench, n=10):
     windows, out = defaultdict(set), {}
     for text in bench:
-        w = [x.lower() for x in WORD.findall(text)]
+        w = [lower(x) for x in WORD.findall(text)]
         for i in range(len(w) - min(n, len(w)) + 1 if w else 0):
             windows[min(n, len(w))].add(tuple(w[i : i + min(n, len(w))]))
     for d, text in docs:
         places = list(WORD.finditer(text))
-        w, hit = [re.sub("[A-Z]", lambda m: m[0].lower(), m[0]) for m in places], set()
+        w, hit = [lower(m[0]) for m in places], set()
         for size, of in windows.items():
             for i in range(len(w) - size + 1):
                 if tuple(w[i : i + size]) in of:
