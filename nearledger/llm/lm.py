@@ -1,21 +1,25 @@
 """Language-model scoring with a log-bilinear model, trained in numpy by noise-contrastive estimation.
 
-Counts of all training words are gathered first. Words fall into 256 classes: the commonest words each have their own, the others share
-one by their last two bytes, so that every word, also one never seen, has a class. The model predicts a token's
-class from the three before it; a word's share of its class comes from its count. Each partition trains a copy on all of its training
-texts, and the copies are averaged by their tokens with an ordinary aggregation, so the fit covers the whole corpus and
-the driver sees one parameter vector. Scoring multiplies blocks of contexts with all class vectors and normalises over all of them.
+Counts of all training words are gathered first. Every word above a count threshold has vectors of its own, as context and as output,
+32,000 words at most; words next to each other in the order of their reversed bytes, which share endings, form classes, the commonest words a class each. A
+word's probability is that of its class times its own inside the class, both log-bilinear in the three tokens before it. A class also has a tail, one
+more output that stands for its rarer words, also never seen ones; they share it by their counts. Every word thus has a probability and they add up to one.
 
-The vocabulary may be of any size: words above a count threshold, HEAD at most, go to every worker; occurrences of rarer ones leave
+Texts are coded once. Each partition trains a copy on all of its training texts; of the copies, a word's vectors are averaged by how often each has
+met the word, with an ordinary aggregation, so the fit covers the whole corpus and the driver sees one set of parameters, bounded
+by the vocabulary. Scoring multiplies blocks of contexts with all class vectors, and those of a class's tokens with all of its words, and normalises both.
+
+The corpus may have any number of words: those above another threshold, HEAD at most, go to every worker with their counts; occurrences of rarer ones leave
 the scan as (row, word, n) and meet their counts in a join.
 
 Edge cases: null and empty texts are the end token alone; without training texts all probabilities are those of no
 counts (base 0) and a uniform model; a null doc_id counts as empty text for the split; repeated rows each count and
-each get a row; an empty table gives no rows; other columns are ignored.
+each get a row; an empty table gives no rows; other columns are ignored. Scores depend slightly on how the input is split.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter
 
 import numpy as np
@@ -26,169 +30,210 @@ from pyspark.sql import functions as F
 
 from .common import blank_words, crc_mod, crc_mod_local, mapped, table, written
 
-#: Most words that go to every worker; classes with one word each, classes of endings.
-HEAD, OWN, ENDINGS = 300_000, 192, 62
+#: Most words whose counts go to every worker; most words with vectors, and the count that they need; words with a class each; words of a class.
+HEAD, NEURAL, LEAST, OWN, SIZE = 300_000, 32_000, 30, 128, 128
 #: Context tokens, dimensions, noise samples a batch, tokens a batch, passes over the corpus, learning rate.
-CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 48, 4096, 2, 0.02
-#: Tokens scored at a time.
-SCORED = 1024
+CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 48, 4096, 2, 0.05
+#: Tokens that are trained on or scored together; rows of class scores at a time.
+SLICE, SCORED = 262_144, 2048
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Fixed point of averaged parameters, which makes their sum independent of its order.
-POINT = 1 << 24
+POINT = 1 << 12
 END = 0
 
 
-class LogBilinear:
-    """score(c | context) = b_c + q_c . sum_i m_i * r_(context i)"""
-
-    def __init__(self, noise: np.ndarray, seed: int = 11):
-        draw, c = np.random.default_rng(seed), len(noise)
-        self.noise = noise
-        self.parts = [draw.normal(0, 0.1, (c, DIM)), np.ones((CONTEXT, DIM)), draw.normal(0, 0.1, (c, DIM)), np.log(noise)]
-        self.parts = [p.astype(np.float32) for p in self.parts]
-        self.first = [np.zeros_like(p) for p in self.parts]
-        self.second = [np.zeros_like(p) for p in self.parts]
-        self.steps = 0
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
-
-    def load(self, vector: np.ndarray) -> None:
-        at = 0
-        for k, p in enumerate(self.parts):
-            self.parts[k] = vector[at : at + p.size].reshape(p.shape).astype(np.float32)
-            at += p.size
-
-    def train(self, context: np.ndarray, word: np.ndarray, draw: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation; the batch shares its noise samples."""
-        r, m, q, b = self.parts
-        n, seen = len(word), [r[context[:, i]] for i in range(CONTEXT)]
-        h = sum(x * m[i] for i, x in enumerate(seen))
-        noise = draw.choice(len(self.noise), NOISE, p=self.noise)
-        chance = np.log(NOISE * self.noise).astype(np.float32)
-        own, q_noise = q[word], q[noise]
-        real = 1 / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", h, own) + (b - chance)[word], 30)))  # 1 - sigma
-        false = h @ q_noise.T
-        false += (b - chance)[noise]
-        np.minimum(false, 30, out=false)
-        np.exp(false, out=false)
-        false /= -(1 + false)  # minus sigma
-        to_h = real[:, None] * own + false @ q_noise
-        grads = [np.zeros_like(p) for p in self.parts]
-        place = np.argsort(word, kind="stable")
-        scatter(grads[2], word, real[:, None] * h, place)
-        grads[3] += np.bincount(word, real, len(b))
-        for i in range(CONTEXT):
-            scatter(grads[0], context[:, i], to_h * m[i])
-            grads[1][i] = np.einsum("nd,nd->d", to_h, seen[i])
-        np.add.at(grads[2], noise, false.T @ h)
-        np.add.at(grads[3], noise, false.sum(0))
-        self.steps += 1
-        for k, g in enumerate(grads):
-            g /= n
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
-            up = self.first[k] / (1 - 0.9**self.steps)
-            self.parts[k] = self.parts[k] + RATE * up / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-4)
-
-    def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities, in blocks: one product with all class vectors (and biases), one exponential, one sum."""
-        r, m, q, b = self.parts
-        placed = [r * m[i] for i in range(CONTEXT)]
-        reach = np.abs(b).max() + sum(np.abs(p).max(0) for p in placed) @ np.abs(q).max(0)
-        with_bias, ones = np.vstack([q.T, b]), np.ones(len(b), dtype=np.float32)
-        out = np.empty(len(word))
-        h, logits = np.ones((SCORED, DIM + 1), dtype=np.float32), np.empty((SCORED, len(b)), dtype=np.float32)
-        for at in range(0, len(word), SCORED):
-            now = slice(at, at + SCORED)
-            k = len(word[now])
-            x, y = h[:k], logits[:k]
-            x[:, :DIM] = placed[0][context[now, 0]]
-            for i in range(1, CONTEXT):
-                x[:, :DIM] += placed[i][context[now, i]]
-            np.dot(x, with_bias, out=y)
-            top = y.max(1) if reach > 60 else np.zeros(k, dtype=np.float32)  # within 60, no exponential overflows or vanishes
-            own = y[np.arange(k), word[now]] - top
-            if reach > 60:
-                y -= top[:, None]
-            np.exp(y, out=y)
-            out[now] = own - np.log(y @ ones)
-        return out / np.log(10)
-
-
-def scatter(into: np.ndarray, classes: np.ndarray, rows: np.ndarray, place: np.ndarray | None = None) -> None:
-    """Add each row to its class."""
-    place = np.argsort(classes, kind="stable") if place is None else place
-    of = classes[place]
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    into[of[first]] += np.add.reduceat(rows[place], first, axis=0)
-
-
 class Vocabulary:
-    """What goes to the workers: words of the head with their counts, the classes, corpus totals. Its size is bounded by HEAD."""
+    """What goes to the workers: words of the head with their counts, units (the end, words with vectors, tails of classes), corpus totals. Its size is bounded by HEAD."""
 
-    def __init__(self, head: list[tuple[bytes, int]], endings: list[tuple[bytes, int, int]], texts: int):
+    def __init__(self, head: list[tuple[bytes, int]], texts: int):
         head = sorted(head, key=lambda x: (-x[1], x[0]))
         self.words, self.counts = b" ".join(w for w, _ in head), np.array([c for _, c in head], dtype=np.int64)
-        self.total = sum(c for _, c, _ in endings) + texts
-        self.distinct = sum(v for *_, v in endings) + (texts > 0)
-        own = head[:OWN]
-        mass, types = Counter({e: c for e, c, _ in endings}), Counter({e: v for e, _, v in endings})
-        for w, c in own:
-            mass[w[-2:]] -= c
-            types[w[-2:]] -= 1
-        common = sorted((e for e in mass if mass[e]), key=lambda e: (-mass[e], e))[:ENDINGS]
-        self.ending = {e: 1 + len(own) + k for k, e in enumerate(common)}
-        self.other = 1 + len(own) + len(common)
-        self.mass, self.types = np.zeros(self.other + 1), np.zeros(self.other + 1)
-        self.mass[0] = texts
-        self.mass[1 : 1 + len(own)] = [c for _, c in own]
-        for e in mass:
-            k = self.ending.get(e, self.other)
-            self.mass[k] += mass[e]
-            self.types[k] += types[e]
-        self.own = len(own)
-
-    @property
-    def noise(self) -> np.ndarray:
-        return (self.mass + 1) / (self.mass + 1).sum()
+        self.vectors = min(NEURAL, int((self.counts >= LEAST).sum()))
+        self.own = min(OWN, self.vectors)
+        grouped = sorted(range(self.own, self.vectors), key=lambda k: head[k][0][::-1])
+        groups = max(1, -(-len(grouped) // SIZE))
+        cuts = [round(k * len(grouped) / groups) for k in range(groups + 1)]
+        #: Least reversed word of every group but the first.
+        self.bounds = [head[grouped[k]][0][::-1] for k in cuts[1:-1]]
+        self.first = np.array([1 + self.own + k + i for i, k in enumerate(cuts)])  # a group's first unit; its last one is its tail
+        self.n_units, self.n_classes = int(self.first[-1]), 1 + self.own + groups
+        self.classes = np.concatenate([np.arange(1 + self.own), np.repeat(np.arange(1 + self.own, self.n_classes), np.diff(self.first))]).astype(np.uint16)
+        self.units = np.empty(len(head), dtype=np.uint16)
+        self.units[: self.own] = 1 + np.arange(self.own)
+        for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            self.units[grouped[a:b]] = self.first[g] + np.arange(b - a)
+        self.units[self.vectors :] = [self.tail(w) for w, _ in head[self.vectors :]]
+        self.mass, self.types = np.zeros(self.n_units), np.zeros(self.n_units)
+        self.mass[END] = texts
+        self.mass[self.units[: self.vectors]] = self.counts[: self.vectors]
+        self.total = self.distinct = 0
+
+    def tail(self, word: bytes) -> int:
+        """The tail of the class that a word without vectors falls into."""
+        return int(self.first[bisect(self.bounds, word[::-1]) + 1]) - 1
+
+    def settle(self, tails: list[tuple[int, int, int]]) -> None:
+        """Take in the counts and the numbers of words without vectors, by tail."""
+        for unit, c, n in tails:
+            self.mass[unit], self.types[unit] = c, n
+        self.total = int(self.mass.sum())
+        self.distinct = self.vectors + int(self.types.sum()) + (self.mass[END] > 0)
 
     def open(self) -> Vocabulary:
         """Tables that a worker makes once."""
         if not hasattr(self, "place"):
             words = self.words.split()
             self.place = dict(zip(words, range(len(words)), strict=True))
-            self.classes = np.array([1 + k if k < self.own else self.class_of(w) for k, w in enumerate(words)], dtype=np.int16)
             self.logs = np.log10(self.counts + 0.5)
-            #: Of a word's share of its class, what does not depend on its count; a class of one word has no share.
-            self.share = np.where(np.arange(self.other + 1) > self.own, -np.log10(self.mass + 0.5 * (self.types + 1)), 0.0)
+            self.tail_logs = np.log10(self.mass + 0.5 * (self.types + 1))
+            #: A word's share of its tail; a word with vectors has none.
+            self.share = np.where(np.arange(len(words)) < self.vectors, 0.0, self.logs - self.tail_logs[self.units])
         return self
 
-    def class_of(self, word: bytes) -> int:
-        return self.ending.get(word[-2:], self.other)
-
     def places(self, words: list[bytes]) -> np.ndarray:
         """Places in the head; -1: not there."""
         get = self.place.get
         return np.fromiter([get(w, -1) for w in words], dtype=np.int32, count=len(words))
 
     def coded(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        """Classes of the words and of the end."""
-        out = np.empty(len(words) + 1, dtype=np.int16)
-        out[:-1] = self.classes[places] if len(self.classes) else 0
+        """Units of the words and of the end."""
+        out = np.empty(len(words) + 1, dtype=np.uint16)
+        out[:-1] = self.units[places] if len(self.units) else 0
         for i in np.flatnonzero(places < 0).tolist():
-            out[i] = self.class_of(words[i])
+            out[i] = self.tail(words[i])
         out[-1] = END
         return out
 
 
-def contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Classes of the CONTEXT tokens before each token; ends before a text's start. lengths: tokens of each text."""
-    out = np.full((len(classes), CONTEXT), END, dtype=np.int16)
-    place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]])[: len(at)])
+    return sorted_at[first], np.add.reduceat(rows[order], first, axis=0) if len(at) else rows
+
+
+class LogBilinear:
+    """With h = sum_i m_i * r_(context i): a class scores b_c + q_c . h, a unit inside its class a_u + w_u . h."""
+
+    NAMES = ("r", "m", "q", "b", "w", "a")
+
+    def __init__(self, words: Vocabulary, seed: int = 11):
+        draw, self.words, u, c = np.random.default_rng(seed), words, words.n_units, words.n_classes
+        by_class = np.bincount(words.classes, words.mass, c) + 1
+        grouped = np.arange(u) > words.own
+        by_unit = np.where(grouped, words.mass + 0.5, 0.0)
+        chances = by_class / by_class.sum(), by_unit / by_unit.sum()
+        self.upto = [np.cumsum(x) for x in chances]
+        logs = [np.log(np.maximum(x, 1e-300)).astype(np.float32) for x in chances]
+        self.chance = [x + np.float32(np.log(NOISE)) for x in logs]
+        self.parts = {"r": draw.normal(0, 0.1, (u, DIM)), "m": np.ones((CONTEXT, DIM)), "q": draw.normal(0, 0.1, (c, DIM)), "b": logs[0], "w": draw.normal(0, 0.1, (u, DIM)), "a": np.where(grouped, logs[1], 0)}
+        self.parts = {k: p.astype(np.float32) for k, p in self.parts.items()}
+        self.squares = {k: np.full(p.shape, 1e-8, dtype=np.float32) for k, p in self.parts.items()}
+        #: How often each unit was met, and whether as noise.
+        self.met, self.noise = np.zeros(u, dtype=np.int64), np.zeros(u, dtype=bool)
+
+    def load(self, parts: dict[str, np.ndarray]) -> None:
+        self.parts = {k: p.copy() for k, p in parts.items()}
+
+    def climb(self, name: str, rows, gradient: np.ndarray) -> None:
+        """An AdaGrad step for some rows."""
+        squares = self.squares[name][rows] + gradient * gradient
+        self.squares[name][rows] = squares
+        self.parts[name][rows] += RATE * gradient / np.sqrt(squares)
+
+    def contrast(self, h: np.ndarray, own: np.ndarray, vectors: str, biases: str, level: int, draw: np.random.Generator):
+        """Noise-contrastive estimation at one level; the batch shares its noise. Climbs the outputs and returns what goes on to h."""
+        q, b, n = self.parts[vectors], self.parts[biases], len(self.parts[biases])
+        noise = np.minimum(np.searchsorted(self.upto[level], draw.random(NOISE), side="right"), n - 1).astype(np.uint16)
+        gap = b - self.chance[level]
+        q_own, q_noise = q[own], q[noise]
+        real = np.einsum("nd,nd->n", h, q_own)
+        real += gap[own]
+        real = 1 / (1 + np.exp(np.minimum(real, 30)))  # 1 - sigma
+        false = h @ q_noise.T
+        false += gap[noise]
+        np.minimum(false, 30, out=false)
+        np.exp(false, out=false)
+        false /= -(1 + false)  # minus sigma
+        rows = np.empty((len(own) + NOISE, DIM + 1), dtype=np.float32)
+        np.multiply(real[:, None], h, out=rows[: len(own), :DIM])
+        rows[: len(own), DIM] = real
+        rows[len(own) :, :DIM] = false.T @ h
+        rows[len(own) :, DIM] = false.sum(0)
+        return real[:, None] * q_own + false @ q_noise, *gathered(np.concatenate([own, noise]), rows), noise
+
+    def train(self, context: np.ndarray, unit: np.ndarray, draw: np.random.Generator) -> None:
+        """One step over a batch."""
+        n, flat, m = len(unit), context.ravel(), self.parts["m"]
+        seen = self.parts["r"][flat].reshape(n, CONTEXT, DIM)
+        h = np.einsum("nkd,kd->nd", seen, m)
+        to_h, at, rows, _ = self.contrast(h, self.words.classes[unit], "q", "b", 0, draw)
+        self.climb("q", at, rows[:, :DIM] / n)
+        self.climb("b", at, rows[:, DIM] / n)
+        some = np.flatnonzero(unit > self.words.own)
+        if len(some):
+            more, at, rows, noise = self.contrast(h[some], unit[some], "w", "a", 1, draw)
+            to_h[some] += more
+            self.noise[noise] = True
+            self.climb("w", at, rows[:, :DIM] / n)
+            self.climb("a", at, rows[:, DIM] / n)
+        at, rows = gathered(flat, (to_h[:, None, :] * m).reshape(-1, DIM))
+        self.climb("m", slice(None), np.einsum("nd,nkd->kd", to_h, seen) / n)
+        self.climb("r", at, rows / n)
+
+    def learn(self, texts: list[np.ndarray], draw: np.random.Generator) -> int:
+        """Train on whole coded texts, in batches of shuffled tokens; how many tokens."""
+        units = np.concatenate(texts)
+        before, order = contexts(units, np.array([len(x) for x in texts])), draw.permutation(len(units))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            self.train(before[rows], units[rows], draw)
+        self.met += np.bincount(units, minlength=len(self.met))
+        return len(units)
+
+    def log10(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of units."""
+        r, m, q, b, w, a = (self.parts[k] for k in self.NAMES)
+        out, classes, first, own = np.empty(len(unit)), self.words.classes[unit], self.words.first, self.words.own
+        h = np.einsum("nkd,kd->nd", r[context.ravel()].reshape(-1, CONTEXT, DIM), m)
+        for at in range(0, len(unit), SCORED):
+            out[at : at + SCORED] = _log_share(h[at : at + SCORED], q, b, classes[at : at + SCORED])
+        order = np.argsort(classes, kind="stable")
+        edges = np.searchsorted(classes[order], np.arange(self.words.n_classes + 1))
+        for g in range(len(first) - 1):
+            rows, of = order[edges[1 + own + g] : edges[2 + own + g]], slice(first[g], first[g + 1])
+            for at in range(0, len(rows), SCORED):
+                some = rows[at : at + SCORED]
+                out[some] += _log_share(h[some], w[of], a[of], unit[some] - first[g])
+        return out / np.log(10)
+
+    def of_texts(self, texts: list[np.ndarray]) -> list[float]:
+        """log10 probabilities of whole coded texts, by their units."""
+        units, lengths = np.concatenate(texts), np.array([len(x) for x in texts])
+        before, logs = contexts(units, lengths), np.empty(len(units))
+        for at in range(0, len(units), SLICE):
+            logs[at : at + SLICE] = self.log10(before[at : at + SLICE], units[at : at + SLICE])
+        return np.add.reduceat(logs, np.cumsum(lengths) - lengths).tolist()
+
+
+def _log_share(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of each row's own output, the natural log of its share of all outputs' exponentials."""
+    y = h @ vectors.T
+    y += biases
+    y -= y.max(1)[:, None]
+    mine = y[np.arange(len(y)), own]
+    np.exp(y, out=y)
+    return mine - np.log(y.sum(1))
+
+
+def contexts(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Units of the CONTEXT tokens before each token; ends before a text's start. lengths: tokens of each text."""
+    out = np.full((len(units), CONTEXT), END, dtype=np.uint16)
+    place = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     for i in range(CONTEXT):
-        out[i + 1 :, i] = classes[: -i - 1]
+        out[i + 1 :, i] = units[: -i - 1]
         out[place <= i, i] = END
     return out
 
@@ -227,103 +272,136 @@ def vocabulary(counts: DataFrame, texts: int, head: int = HEAD) -> tuple[Vocabul
             break
         least = r["least"]
     least = least or 1 << 62
-    words = [(bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= least).collect()]
-    endings = counts.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("c"), F.count(F.lit(1))).collect()  # 65,792 rows at most
-    return Vocabulary(words, [(bytes(r[0]), r[1], r[2]) for r in endings], texts), least
+    words = Vocabulary([(bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= least).collect()], texts)
+    sent = counts.sparkSession.sparkContext.broadcast(words)
 
+    def tails(batches):
+        known, mass, types = sent.value.open(), Counter(), Counter()
+        for b in batches:
+            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if known.place.get(word, known.vectors) >= known.vectors:
+                    unit = known.tail(word)
+                    mass[unit] += c
+                    types[unit] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (mass, mass.values(), types.values())], names=["unit", "c", "n"])
 
-def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    """Train on all texts. Per round, each partition goes on from the same parameters; their mean, weighted by tokens, is the next start."""
-    spark, model = texts.sparkSession, LogBilinear(words.noise)
-    sent = spark.sparkContext.broadcast(words)
-    for k in range(rounds):
-        start = spark.sparkContext.broadcast(model.vector())
+    by_tail = mapped(counts.select("word", "c"), tails, "unit long, c long, n long").groupBy("unit").agg(F.sum("c"), F.sum("n")).collect()
+    words = Vocabulary([(w, int(c)) for w, c in zip(words.words.split(), words.counts, strict=True)], texts)
+    words.settle([tuple(r) for r in by_tail])
+    return words, least
 
-        def train(batches, start=start, k=k):
-            known = sent.value.open()
-            own, draw, tokens = LogBilinear(known.noise), np.random.default_rng([k, TaskContext.get().partitionId()]), 0
-            own.load(start.value)
-            for b in batches:
-                coded = []
-                for text in b.column(0).to_pylist():
-                    split = blank_words(text)
-                    coded.append(known.coded(split, known.places(split)))
-                if not coded:
-                    continue
-                classes = np.concatenate(coded)
-                before = contexts(classes, np.array([len(x) for x in coded]))
-                order = draw.permutation(len(classes))
-                for at in range(0, len(order), BATCH):
-                    rows = order[at : at + BATCH]
-                    own.train(before[rows], classes[rows], draw)
-                tokens += len(classes)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.rint(own.vector().astype(np.float64) * POINT).astype(np.int64), pa.int64()), pa.array(np.arange(len(own.vector()), dtype=np.int32)), pa.array(np.full(len(own.vector()), tokens))], names=["v", "k", "tokens"])
-
-        copies = mapped(texts.select("text"), train, "v long, k int, tokens long")
-        mean = copies.groupBy("k").agg((F.sum(F.col("v").cast("decimal(18,0)") * F.col("tokens").cast("decimal(18,0)")) / F.sum("tokens")).cast("double").alias("v")).collect()
-        if mean:
-            vector = model.vector().astype(np.float64)
-            for i, v in mean:
-                vector[i] = v / POINT
-            model.load(vector)
-    return model
 
+CODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, units binary, word binary, n long"
 
-SCANNED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, word binary, n long"
 
+def coded(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """Rows of documents (word null) with their units, and of their words outside the head. To be written before use: row ids hold for one run.
 
-def scan(texts: DataFrame, words: Vocabulary, model: LogBilinear) -> DataFrame:
-    """Rows of documents (word null) and of their words outside the head. To be written before use: row ids hold for one run."""
-    sent = texts.sparkSession.sparkContext.broadcast((words, model.parts))
+    base and share lack the logs of the counts of words outside the head."""
+    sent = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        (known, parts), part, row = sent.value, TaskContext.get().partitionId(), 0
-        known.open()
-        lbl = LogBilinear(known.noise)
-        lbl.parts = parts
+        known, part, row = sent.value.open(), TaskContext.get().partitionId(), 0
         log_all = np.log10(known.total + 0.5 * (known.distinct + 1))
         log_end = np.log10(known.mass[END] + 0.5)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
+            ids, data = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 1000):
-                coded, base, rare, rids, n_rare = [], [], [], [], []
-                for text in texts[lo : lo + 1000].to_pylist():
+                rows, rare = [], []
+                for doc_id, text in zip(ids[lo : lo + 1000], data[lo : lo + 1000].to_pylist(), strict=True):
                     split = blank_words(text)
                     places = known.places(split)
-                    coded.append(known.coded(split, places))
-                    out = np.flatnonzero(places < 0).tolist()
-                    base.append(known.logs[places[places >= 0]].sum() + log_end)
-                    n_rare.append(len(out))
-                    rids.append(part << 40 | row)
+                    units, n = known.coded(split, places), len(split) + 1
+                    out, inside = np.flatnonzero(places < 0), places[places >= 0]
+                    base = known.logs[inside].sum() + log_end - n * log_all
+                    share = known.share[inside].sum() - known.tail_logs[units[out]].sum()
+                    rid = part << 40 | row
+                    rows.append((rid, doc_id, crc_mod_local(doc_id, 5) == 1, n, n - len(out) - (known.mass[END] == 0), base, share, units.tobytes(), None, None))
+                    rare += [(rid, None, None, None, None, None, None, None, w, c) for w, c in Counter([split[i] for i in out.tolist()]).items()]
                     row += 1
-                    rare.append(Counter(split[i] for i in out))
-                classes = np.concatenate(coded)
-                starts = np.cumsum([0, *map(len, coded[:-1])])
-                lengths = np.array([len(x) for x in coded])
-                logs = lbl.log10(contexts(classes, lengths), classes) + known.share[classes]
-                # the share of a class of one word, or of the end, holds no count
-                alone = np.where(classes <= known.own, -np.log10(known.mass + 0.5)[classes], 0.0)
-                total = np.add.reduceat(logs + alone, starts) + base
-                some = ids[lo : lo + 1000]
-                yield _rows(rids, some, [crc_mod_local(x, 5) == 1 for x in some], lengths, lengths - n_rare - (known.mass[END] == 0), np.array(base) - lengths * log_all, total)
-                flat = [(rid, w, n) for rid, c in zip(rids, rare, strict=True) for w, n in c.items()]
-                if flat:
-                    yield _rare(*zip(*flat, strict=True))
+                for x in (rows, rare):
+                    if x:
+                        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x, strict=True), types, strict=True)], names=[f.split()[0] for f in CODED.split(", ")])
+
+    return mapped(texts.select("doc_id", "text"), run, CODED)
+
 
-    return mapped(texts.select("doc_id", "text"), run, SCANNED)
+def _slices(batches, column: int):
+    """Lists of (batch row, units) of SLICE tokens or so, with their batches' rows in order."""
+    held, n = [], 0
+    for b in batches:
+        for row, units in enumerate(b.column(column).to_pylist()):
+            held.append((b, row, np.frombuffer(units, dtype=np.uint16)))
+            n += len(held[-1][2])
+            if n >= SLICE:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
-def _rows(rid, doc_id, held, n, known, base, model) -> pa.RecordBatch:
-    k = len(rid)
-    columns = [pa.array(rid, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCANNED.split(", ")])
+VALUES = [f"v{i}" for i in range(2 * DIM + 1)]
 
 
-def _rare(rid, word, n) -> pa.RecordBatch:
-    k = len(rid)
-    columns = [pa.array(rid, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCANNED.split(", ")])
+def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+    """Train on all rows of coded texts (column units). Per round, each partition goes on from the same parameters. The next start is, for a unit, the mean of the
+    copies weighted by how often they met it; for classes, weighted by tokens."""
+    spark, model = texts.sparkSession, LogBilinear(words)
+    sent = spark.sparkContext.broadcast(words)
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast(model.parts)
+
+        def train(batches, start=start, k=k):
+            own, draw, tokens = LogBilinear(sent.value), np.random.default_rng([k, TaskContext.get().partitionId()]), 0
+            own.load(start.value)
+            for held in _slices(batches, 0):
+                tokens += own.learn([units for *_, units in held], draw)
+            if tokens:
+                p, weight = own.parts, own.met + own.noise
+                at = np.flatnonzero(weight)
+                zeros = lambda n, d: np.zeros((n, d), dtype=np.float32)
+                c = len(p["b"])
+                rows = np.concatenate([
+                    np.column_stack([p["w"][at], p["a"][at], p["r"][at]]), np.column_stack([p["q"], p["b"], zeros(c, DIM)]), np.column_stack([p["m"], zeros(CONTEXT, DIM + 1)]),
+                ]).astype(np.float64)
+                n = np.concatenate([weight[at], np.full(c + CONTEXT, tokens)])
+                key = np.concatenate([at, len(weight) + np.arange(c + CONTEXT)]).astype(np.int32)
+                values = np.rint(rows * n[:, None] * POINT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), *[pa.array(values[:, i]) for i in range(len(VALUES))]], names=["k", "n", *VALUES])
+
+        copies = mapped(texts.select("units"), train, "k int, n long, " + ", ".join(f"{v} long" for v in VALUES))
+        got = copies.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in VALUES]).toArrow()
+        if got.num_rows:
+            key, n = got.column("k").to_numpy(), got.column("n").to_numpy().astype(np.float64)
+            mean = (np.column_stack([got.column(v).to_numpy() for v in VALUES]) / (n[:, None] * POINT)).astype(np.float32)
+            p, u, c = {x: y.copy() for x, y in model.parts.items()}, words.n_units, words.n_classes
+            of = key < u
+            p["w"][key[of]], p["a"][key[of]], p["r"][key[of]] = mean[of, :DIM], mean[of, DIM], mean[of, DIM + 1 :]
+            of = (key >= u) & (key < u + c)
+            p["q"][key[of] - u], p["b"][key[of] - u] = mean[of, :DIM], mean[of, DIM]
+            of = key >= u + c
+            p["m"][key[of] - u - c] = mean[of, :DIM]
+            model.load(p)
+    return model
+
+
+def scored(rows: DataFrame, model: LogBilinear) -> DataFrame:
+    """The rows of documents of coded(), with model, their log10 probability by units, instead of the units."""
+    sent = rows.sparkSession.sparkContext.broadcast((model.words, model.parts))
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "units"]
+
+    def run(batches):
+        known, parts = sent.value
+        lbl = LogBilinear(known)
+        lbl.load(parts)
+        for b in batches:
+            logs: list[float] = []
+            for held in _slices([b], len(names) - 1):
+                logs += lbl.of_texts([units for *_, units in held])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(logs, pa.float64())], names=[*names[:-1], "model"])
+
+    return mapped(rows.select(*names), run, CODED[: CODED.index(", units")] + ", model double")
 
 
 def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -332,16 +410,18 @@ def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     seen = texts.filter(crc_mod(F.col("doc_id"), 5) != 1)
     counts = written(word_counts(seen), "lm-counts")
     words, least = vocabulary(counts, seen.count(), head)
-    whole = written(scan(texts, words, fit(seen, words, rounds)), "lm-scan")
+    whole = written(coded(texts, words), "lm-coded")
+    rows = whole.filter("word is null")
+    model = fit(rows.filter("not held_out"), words, rounds)
     c = F.coalesce("c", F.lit(0))
     rare = (
         whole.filter("word is not null").select("rid", "word", "n").join(counts.filter(F.col("c") < least), "word", "left")
         .groupBy("rid").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
     )
     logs = F.coalesce("logs", F.lit(0.0))
-    return whole.filter("word is null").join(rare, "rid", "left").select(
+    return scored(rows, model).join(rare, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"),
+        (F.col("base") + logs).alias("base_score"), (F.col("model") + F.col("share") + logs).alias("score"),
     )
 
 

@@ -1,7 +1,6 @@
 import gzip
 import json
 import random
-from math import exp
 
 import numpy as np
 import pytest
@@ -167,8 +166,8 @@ def line_dedup_within_one(a, b):
 
 
 def test_what_a_line_loses_is_counted(spark):
-    passage = "\n".join(f"a passage that is found twice, its line {i} of ten or so" for i in "abcdefghij")
-    docs = spark.createDataFrame([(1, passage), (2, passage + "\nAnd."), (3, "its own words come first, and they are many more than a tenth\n" + passage)], "doc_id long, text string")
+    passage = "\n".join(f"a passage that is found twice, its line {i * 3} of ten or so" for i in "abcdefghij")
+    docs = spark.createDataFrame([(1, passage), (2, passage + "\nAnd."), (3, "its own words come first, and they are many more than a tenth of what follows, which is found twice\n" + passage)], "doc_id long, text string")
     left = {r.doc_id: r.line_counts.left for r in line_dedup.dedup_lines(docs).collect()}
     assert left[1] == 1 and left[2] < 0.1 < left[3] < 0.5
 
@@ -302,25 +301,96 @@ def test_additive_model_learns_an_interaction():
     assert quality.Additive(x[:8], np.ones(8)).score(x[:1])[0] == pytest.approx(0.9)
 
 
-def test_language_model_is_normalised_and_learns():
+def words_of(counts, texts=10):
+    """A vocabulary of some words of which all are in the head."""
+    words = lm.Vocabulary(list(counts.items()), texts)
+    tails = {}
+    for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[words.vectors :]:
+        mass, n = tails.get(words.tail(w), (0, 0))
+        tails[words.tail(w)] = mass + c, n + 1
+    words.settle([(unit, *x) for unit, x in tails.items()])
+    return words.open()
+
+
+def test_language_model_is_normalised_over_words(monkeypatch):
+    monkeypatch.setattr(lm, "OWN", 5)
+    monkeypatch.setattr(lm, "SIZE", 4)
     r = np.random.default_rng(1)
-    noise = np.full(8, 1 / 8)
-    m = lm.LogBilinear(noise)
-    words = np.zeros(40_000, dtype=np.int16)
-    for i in range(1, len(words)):
-        words[i] = (words[i - 1] + 1) % 8 if r.random() < 0.8 else r.integers(8)
-    before = lm.contexts(words, np.array([len(words)]))
-    for _ in range(6):
-        order = r.permutation(len(words))
-        for at in range(0, len(order), 1000):
-            m.train(before[order[at : at + 1000]], words[order[at : at + 1000]], r)
-    every = np.array([[10 ** m.log10(np.tile(c, (8, 1)), np.arange(8))] for c in before[5:15]])
-    assert every.sum(-1) == pytest.approx(1, abs=1e-4)
-    assert m.log10(before, words).mean() * np.log(10) > -1.2 and exp(-1.2) > 1 / 8
+    counts = {f"w{i}{'abc'[i % 3]}".encode(): 200 // (i + 1) + 1 for i in range(60)}
+    words = words_of(counts)
+    assert 5 < words.vectors < 60 and len(words.first) > 1
+    m = lm.LogBilinear(words)
+    m.load({k: p + r.normal(0, 0.5, p.shape).astype(np.float32) for k, p in m.parts.items()})
+    for _ in range(5):
+        before = r.integers(0, words.n_units, (1, lm.CONTEXT)).astype(np.uint16)
+        logs = m.log10(np.repeat(before, words.n_units, 0), np.arange(words.n_units))
+        assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
+        # each word with its share of its class, and the part of words that were never seen
+        every = sum(10 ** (logs[u] + s) for u, s in zip(words.units, words.share, strict=True)) + 10 ** logs[0]
+        unseen = sum(10 ** (logs[u] + np.log10(0.5) - words.tail_logs[u]) for u in words.first[1:] - 1)
+        assert every + unseen == pytest.approx(1, abs=1e-5)
+
+
+def test_language_model_learns_which_word_follows():
+    r, n = np.random.default_rng(1), 300
+    counts = {f"{i:03}".encode(): 100 + i for i in range(n)}
+    words = words_of(counts)
+    m = lm.LogBilinear(words)
+    order = words.units[np.argsort([int(w) for w in words.words.split()])]  # unit of word i
+    texts = []
+    for _ in range(400):
+        w = [int(r.integers(n))]
+        for _ in range(100):
+            w.append((w[-1] + 1) % n if r.random() < 0.8 else int(r.integers(n)))
+        texts.append(np.append(order[w], 0).astype(np.uint16))
+    before = np.mean(m.of_texts(texts)) / 102
+    for _ in range(8):
+        m.learn(texts, r)
+    after = np.mean(m.of_texts(texts)) / 102
+    assert before < -2.4 and after > before + 0.7  # the context alone tells, also inside a class
+
+
+def test_scores_are_those_of_plain_sums(spark):
+    """score of every text, recomputed word by word from the fitted parameters."""
+    r = random.Random(4)
+    vocabulary = ["the", "of", *[f"word{i}" for i in range(80)]]
+    rows = [(i, " ".join(r.choices(vocabulary, [200, 100, *[80 / (k + 1) for k in range(80)]], k=r.randrange(40)))) for i in range(300)] + [(900, None), (901, "never seen before"), (901, "The OF")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = lm._texts(docs)
+    seen = texts.filter(lm.crc_mod(F.col("doc_id"), 5) != 1)
+    counts = written(lm.word_counts(seen), "t")
+    words, least = lm.vocabulary(counts, seen.count(), 20)  # most words outside the head
+    whole = written(lm.coded(texts, words), "t")
+    model = lm.fit(whole.filter("word is null and not held_out"), words, 1)
+    assert 0 < words.vectors <= 20 and least < 1 << 62
+    n = {bytes(x.word): x.c for x in counts.collect()}
+    p, first = {k: v.astype(np.float64) for k, v in model.parts.items()}, words.first.tolist()
+    known = words.open()
+    unit = {w: int(known.units[k]) for w, k in known.place.items() if k < known.vectors}
+    got = {}
+    for x in lm.score(docs, 20, 1).collect():
+        got.setdefault(x.doc_id, []).append((x.n_tokens, x.score))
+    for i, text in rows:
+        split = (text or "").lower().encode().split()
+        units, total = [unit.get(w, known.tail(w)) for w in split] + [0], 0.0
+        for k, u in enumerate(units):
+            h = sum(p["m"][j] * p["r"][units[k - 1 - j] if k - 1 - j >= 0 else 0] for j in range(lm.CONTEXT))
+            scores = p["b"] + p["q"] @ h
+            total += scores[words.classes[u]] - np.log(np.exp(scores).sum())
+            if u > words.own:
+                g = int(words.classes[u]) - 1 - words.own
+                scores = p["a"][first[g] : first[g + 1]] + p["w"][first[g] : first[g + 1]] @ h
+                total += scores[u - first[g]] - np.log(np.exp(scores).sum())
+        total /= np.log(10)
+        for w in split:
+            if w not in unit:
+                tail = [(x, c) for x, c in n.items() if x not in unit and known.tail(x) == known.tail(w)]
+                total += np.log10((n.get(w, 0) + 0.5) / (sum(c for _, c in tail) + 0.5 * (len(tail) + 1)))
+        assert any(t == len(units) and s == pytest.approx(total, abs=2e-2 + 1e-3 * len(units)) for t, s in got[i]), i
 
 
 def test_contexts_stop_at_a_text():
-    got = lm.contexts(np.array([5, 6, 0, 7, 0], dtype=np.int16), np.array([3, 2]))
+    got = lm.contexts(np.array([5, 6, 0, 7, 0], dtype=np.uint16), np.array([3, 2]))
     assert got.tolist()[:5] == [[0, 0, 0], [5, 0, 0], [6, 5, 0], [0, 0, 0], [7, 0, 0]]
 
 
