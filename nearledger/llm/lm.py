@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import blank_words, crc_mod, crc_mod_local, mapped, table, written
 
 #: Most words whose counts go to every worker; most words with vectors, and the count that they need; words with a class each; words of a class.
-HEAD, NEURAL, LEAST, OWN, SIZE = 300_000, 32_000, 30, 128, 128
+HEAD, NEURAL, LEAST, OWN, SIZE = 300_000, 32_000, 30, 64, 192
 #: Context tokens, dimensions, noise samples a batch, tokens a batch, passes over the corpus, learning rate.
 CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 48, 4096, 2, 0.05
-#: Tokens that are trained on or scored together; rows of class scores at a time.
-SLICE, SCORED = 262_144, 2048
+#: Tokens that are trained on or scored together; rows of class scores at a time; neighbouring tokens that stay together in a batch.
+SLICE, SCORED, RUN = 262_144, 1024, 32
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Fixed point of averaged parameters, which makes their sum independent of its order.
@@ -114,10 +114,22 @@ def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_at[first], np.add.reduceat(rows[order], first, axis=0) if len(at) else rows
 
 
+def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in a row with CONTEXT ends before each, so that a token's context is simply what stands before it; and which places are their tokens."""
+    lengths = np.array([len(x) for x in texts])
+    stops = np.cumsum(lengths + CONTEXT - 1) + 1
+    real = np.zeros(stops[-1] + RUN, dtype=bool)
+    units = np.zeros(len(real), dtype=np.uint16)
+    for x, stop in zip(texts, stops.tolist(), strict=True):
+        units[stop - len(x) : stop] = x
+        real[stop - len(x) : stop] = True
+    return units, real
+
+
 class LogBilinear:
-    """With h = sum_i m_i * r_(context i): a class scores b_c + q_c . h, a unit inside its class a_u + w_u . h."""
+    """With h = sum_i m_i * r_(context i): a class scores b_c + q_c . h, a unit inside its class a_u + w_u . h. Biases are the last columns of q and w."""
 
-    NAMES = ("r", "m", "q", "b", "w", "a")
+    NAMES = ("r", "m", "q", "w")
 
     def __init__(self, words: Vocabulary, seed: int = 11):
         draw, self.words, u, c = np.random.default_rng(seed), words, words.n_units, words.n_classes
@@ -128,9 +140,11 @@ class LogBilinear:
         self.upto = [np.cumsum(x) for x in chances]
         logs = [np.log(np.maximum(x, 1e-300)).astype(np.float32) for x in chances]
         self.chance = [x + np.float32(np.log(NOISE)) for x in logs]
-        self.parts = {"r": draw.normal(0, 0.1, (u, DIM)), "m": np.ones((CONTEXT, DIM)), "q": draw.normal(0, 0.1, (c, DIM)), "b": logs[0], "w": draw.normal(0, 0.1, (u, DIM)), "a": np.where(grouped, logs[1], 0)}
+        normal = lambda n: draw.normal(0, 0.1, (n, DIM))
+        self.parts = {"r": normal(u), "m": np.ones((CONTEXT, DIM)), "q": np.column_stack([normal(c), logs[0]]), "w": np.column_stack([normal(u), np.where(grouped, logs[1], 0)])}
         self.parts = {k: p.astype(np.float32) for k, p in self.parts.items()}
-        self.squares = {k: np.full(p.shape, 1e-8, dtype=np.float32) for k, p in self.parts.items()}
+        #: Of each row, the sums of its gradients' squares: the mean over its vector, and of its bias.
+        self.squares = {k: np.full((len(p), 2), 1e-8, dtype=np.float32) for k, p in self.parts.items()}
         #: How often each unit was met, and whether as noise.
         self.met, self.noise = np.zeros(u, dtype=np.int64), np.zeros(u, dtype=bool)
 
@@ -138,104 +152,121 @@ class LogBilinear:
         self.parts = {k: p.copy() for k, p in parts.items()}
 
     def climb(self, name: str, rows, gradient: np.ndarray) -> None:
-        """An AdaGrad step for some rows."""
-        squares = self.squares[name][rows] + gradient * gradient
+        """An AdaGrad step for some rows, with one rate for a row's vector and one for its bias."""
+        squares = self.squares[name][rows]
+        squares[:, 0] += np.einsum("nd,nd->n", gradient[:, :DIM], gradient[:, :DIM]) / DIM
+        gradient[:, :DIM] *= RATE / np.sqrt(squares[:, :1])
+        if gradient.shape[1] > DIM:
+            squares[:, 1] += gradient[:, DIM] ** 2
+            gradient[:, DIM] *= RATE / np.sqrt(squares[:, 1])
         self.squares[name][rows] = squares
-        self.parts[name][rows] += RATE * gradient / np.sqrt(squares)
-
-    def contrast(self, h: np.ndarray, own: np.ndarray, vectors: str, biases: str, level: int, draw: np.random.Generator):
-        """Noise-contrastive estimation at one level; the batch shares its noise. Climbs the outputs and returns what goes on to h."""
-        q, b, n = self.parts[vectors], self.parts[biases], len(self.parts[biases])
-        noise = np.minimum(np.searchsorted(self.upto[level], draw.random(NOISE), side="right"), n - 1).astype(np.uint16)
-        gap = b - self.chance[level]
-        q_own, q_noise = q[own], q[noise]
-        real = np.einsum("nd,nd->n", h, q_own)
-        real += gap[own]
+        self.parts[name][rows] += gradient
+
+    def contrast(self, h: np.ndarray, own: np.ndarray, name: str, level: int, draw: np.random.Generator) -> np.ndarray:
+        """Noise-contrastive estimation at one level; the batch shares its noise. Climbs the outputs and returns what goes on to h, whose last column is 1."""
+        outputs, chance, n = self.parts[name], self.chance[level], len(own)
+        noise = np.minimum(np.searchsorted(self.upto[level], draw.random(NOISE), side="right"), len(outputs) - 1).astype(np.uint16)
+        out_own, out_noise = outputs[own], outputs[noise]
+        real = np.einsum("nd,nd->n", h, out_own)
+        real -= chance[own]
         real = 1 / (1 + np.exp(np.minimum(real, 30)))  # 1 - sigma
-        false = h @ q_noise.T
-        false += gap[noise]
-        np.minimum(false, 30, out=false)
+        against = -out_noise.T
+        against[DIM] += chance[noise]
+        false = h @ against
+        np.minimum(false, 60, out=false)
         np.exp(false, out=false)
-        false /= -(1 + false)  # minus sigma
-        rows = np.empty((len(own) + NOISE, DIM + 1), dtype=np.float32)
-        np.multiply(real[:, None], h, out=rows[: len(own), :DIM])
-        rows[: len(own), DIM] = real
-        rows[len(own) :, :DIM] = false.T @ h
-        rows[len(own) :, DIM] = false.sum(0)
-        return real[:, None] * q_own + false @ q_noise, *gathered(np.concatenate([own, noise]), rows), noise
-
-    def train(self, context: np.ndarray, unit: np.ndarray, draw: np.random.Generator) -> None:
-        """One step over a batch."""
-        n, flat, m = len(unit), context.ravel(), self.parts["m"]
-        seen = self.parts["r"][flat].reshape(n, CONTEXT, DIM)
-        h = np.einsum("nkd,kd->nd", seen, m)
-        to_h, at, rows, _ = self.contrast(h, self.words.classes[unit], "q", "b", 0, draw)
-        self.climb("q", at, rows[:, :DIM] / n)
-        self.climb("b", at, rows[:, DIM] / n)
-        some = np.flatnonzero(unit > self.words.own)
-        if len(some):
-            more, at, rows, noise = self.contrast(h[some], unit[some], "w", "a", 1, draw)
-            to_h[some] += more
+        false += 1
+        np.divide(-1, false, out=false)  # minus sigma
+        rows = np.empty((n + NOISE, DIM + 1), dtype=np.float32)
+        np.multiply(real[:, None], h, out=rows[:n])
+        np.dot(false.T, h, out=rows[n:])
+        at, rows = gathered(np.concatenate([own, noise]), rows)
+        to_h = false @ out_noise
+        out_own *= real[:, None]
+        to_h += out_own
+        rows /= n
+        self.climb(name, at, rows)
+        if level:
             self.noise[noise] = True
-            self.climb("w", at, rows[:, :DIM] / n)
-            self.climb("a", at, rows[:, DIM] / n)
-        at, rows = gathered(flat, (to_h[:, None, :] * m).reshape(-1, DIM))
-        self.climb("m", slice(None), np.einsum("nd,nkd->kd", to_h, seen) / n)
-        self.climb("r", at, rows / n)
+        return to_h[:, :DIM]
+
+    def train(self, units: np.ndarray, real: np.ndarray, draw: np.random.Generator) -> None:
+        """One step over runs of neighbouring tokens, each a row with the CONTEXT tokens before it. real: which tokens count."""
+        m, (runs, width) = self.parts["m"], units.shape
+        seen = self.parts["r"][units.ravel()].reshape(runs, width, DIM)
+        before = [seen[:, CONTEXT - 1 - i : width - 1 - i] for i in range(CONTEXT)]
+        h = np.ones((runs, width - CONTEXT, DIM + 1), dtype=np.float32)
+        np.multiply(before[0], m[0], out=h[:, :, :DIM])
+        for i in range(1, CONTEXT):
+            h[:, :, :DIM] += before[i] * m[i]
+        at = np.flatnonzero(real.ravel())
+        if not len(at):
+            return
+        own, h = units[:, CONTEXT:].ravel()[at], h.reshape(-1, DIM + 1)[at]
+        to_h = self.contrast(h, self.words.classes[own], "q", 0, draw)
+        some = np.flatnonzero(own > self.words.own)
+        if len(some):
+            to_h[some] += self.contrast(h[some], own[some], "w", 1, draw)
+        to_h /= len(at)
+        whole = np.zeros((runs * (width - CONTEXT), DIM), dtype=np.float32)
+        whole[at] = to_h
+        whole = whole.reshape(runs, width - CONTEXT, DIM)
+        to_m, to_r = np.empty_like(m), np.zeros_like(seen)
+        for i in range(CONTEXT):
+            to_m[i] = np.einsum("nkd,nkd->d", whole, before[i])
+            to_r[:, CONTEXT - 1 - i : width - 1 - i] += whole * m[i]
+        self.climb("m", slice(None), to_m)
+        self.climb("r", *gathered(units.ravel(), to_r.reshape(-1, DIM)))
 
     def learn(self, texts: list[np.ndarray], draw: np.random.Generator) -> int:
-        """Train on whole coded texts, in batches of shuffled tokens; how many tokens."""
-        units = np.concatenate(texts)
-        before, order = contexts(units, np.array([len(x) for x in texts])), draw.permutation(len(units))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            self.train(before[rows], units[rows], draw)
-        self.met += np.bincount(units, minlength=len(self.met))
-        return len(units)
-
-    def log10(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of units."""
-        r, m, q, b, w, a = (self.parts[k] for k in self.NAMES)
-        out, classes, first, own = np.empty(len(unit)), self.words.classes[unit], self.words.first, self.words.own
-        h = np.einsum("nkd,kd->nd", r[context.ravel()].reshape(-1, CONTEXT, DIM), m)
-        for at in range(0, len(unit), SCORED):
-            out[at : at + SCORED] = _log_share(h[at : at + SCORED], q, b, classes[at : at + SCORED])
-        order = np.argsort(classes, kind="stable")
+        """Train on whole coded texts, in batches of shuffled runs of tokens; how many tokens."""
+        units, real = stream(texts)
+        starts = draw.permutation(np.arange(CONTEXT, len(units) - RUN + 1, RUN))
+        for at in range(0, len(starts), BATCH // RUN):
+            some = starts[at : at + BATCH // RUN, None]
+            self.train(units[some + np.arange(-CONTEXT, RUN)], real[some + np.arange(RUN)], draw)
+        self.met += np.bincount(units[real], minlength=len(self.met))
+        return int(real.sum())
+
+    def of_texts(self, texts: list[np.ndarray]) -> list[float]:
+        """Normalised log10 probabilities of whole coded texts, by their units."""
+        units, real = stream(texts)
+        places, lengths = np.flatnonzero(real), np.array([len(x) for x in texts])
+        logs = np.concatenate([self.log10(units, places[at : at + SLICE]) for at in range(0, len(places), SLICE)])
+        return np.add.reduceat(logs, np.cumsum(lengths) - lengths).tolist()
+
+    def log10(self, units: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of the units at some places of a stream."""
+        r, m, q, w = (self.parts[k] for k in self.NAMES)
+        own, first = units[places], self.words.first
+        classes = self.words.classes[own]
+        h = np.ones((len(places), DIM + 1), dtype=np.float32)
+        h[:, :DIM] = 0
+        for i in range(CONTEXT):
+            h[:, :DIM] += (r * m[i])[units[places - 1 - i]]
+        # no exponential overflows or vanishes where all scores lie within 60
+        reach = lambda rows: float((np.abs(h).max(0) * np.abs(rows).max(0)).sum()) if len(h) else 0.0
+        wide, out = reach(q) > 60, np.empty(len(places))
+        for at in range(0, len(places), SCORED):
+            out[at : at + SCORED] = _log_share(h[at : at + SCORED], q, classes[at : at + SCORED], wide)
+        wide, order = reach(w) > 60, np.argsort(classes, kind="stable")
         edges = np.searchsorted(classes[order], np.arange(self.words.n_classes + 1))
         for g in range(len(first) - 1):
-            rows, of = order[edges[1 + own + g] : edges[2 + own + g]], slice(first[g], first[g + 1])
+            rows, of = order[edges[1 + self.words.own + g] : edges[2 + self.words.own + g]], w[first[g] : first[g + 1]]
             for at in range(0, len(rows), SCORED):
                 some = rows[at : at + SCORED]
-                out[some] += _log_share(h[some], w[of], a[of], unit[some] - first[g])
+                out[some] += _log_share(h[some], of, own[some] - first[g], wide)
         return out / np.log(10)
 
-    def of_texts(self, texts: list[np.ndarray]) -> list[float]:
-        """log10 probabilities of whole coded texts, by their units."""
-        units, lengths = np.concatenate(texts), np.array([len(x) for x in texts])
-        before, logs = contexts(units, lengths), np.empty(len(units))
-        for at in range(0, len(units), SLICE):
-            logs[at : at + SLICE] = self.log10(before[at : at + SLICE], units[at : at + SLICE])
-        return np.add.reduceat(logs, np.cumsum(lengths) - lengths).tolist()
-
 
-def _log_share(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _log_share(h: np.ndarray, outputs: np.ndarray, own: np.ndarray, wide: bool) -> np.ndarray:
     """Of each row's own output, the natural log of its share of all outputs' exponentials."""
-    y = h @ vectors.T
-    y += biases
-    y -= y.max(1)[:, None]
+    y = h @ outputs.T
+    if wide:
+        y -= y.max(1)[:, None]
     mine = y[np.arange(len(y)), own]
     np.exp(y, out=y)
-    return mine - np.log(y.sum(1))
-
-
-def contexts(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Units of the CONTEXT tokens before each token; ends before a text's start. lengths: tokens of each text."""
-    out = np.full((len(units), CONTEXT), END, dtype=np.uint16)
-    place = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    for i in range(CONTEXT):
-        out[i + 1 :, i] = units[: -i - 1]
-        out[place <= i, i] = END
-    return out
+    return mine - np.log(y @ np.ones(y.shape[1], dtype=np.float32))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -361,10 +392,8 @@ def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinea
                 p, weight = own.parts, own.met + own.noise
                 at = np.flatnonzero(weight)
                 zeros = lambda n, d: np.zeros((n, d), dtype=np.float32)
-                c = len(p["b"])
-                rows = np.concatenate([
-                    np.column_stack([p["w"][at], p["a"][at], p["r"][at]]), np.column_stack([p["q"], p["b"], zeros(c, DIM)]), np.column_stack([p["m"], zeros(CONTEXT, DIM + 1)]),
-                ]).astype(np.float64)
+                c = len(p["q"])
+                rows = np.concatenate([np.column_stack([p["w"][at], p["r"][at]]), np.column_stack([p["q"], zeros(c, DIM)]), np.column_stack([p["m"], zeros(CONTEXT, DIM + 1)])]).astype(np.float64)
                 n = np.concatenate([weight[at], np.full(c + CONTEXT, tokens)])
                 key = np.concatenate([at, len(weight) + np.arange(c + CONTEXT)]).astype(np.int32)
                 values = np.rint(rows * n[:, None] * POINT).astype(np.int64)
@@ -377,9 +406,9 @@ def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinea
             mean = (np.column_stack([got.column(v).to_numpy() for v in VALUES]) / (n[:, None] * POINT)).astype(np.float32)
             p, u, c = {x: y.copy() for x, y in model.parts.items()}, words.n_units, words.n_classes
             of = key < u
-            p["w"][key[of]], p["a"][key[of]], p["r"][key[of]] = mean[of, :DIM], mean[of, DIM], mean[of, DIM + 1 :]
+            p["w"][key[of]], p["r"][key[of]] = mean[of, : DIM + 1], mean[of, DIM + 1 :]
             of = (key >= u) & (key < u + c)
-            p["q"][key[of] - u], p["b"][key[of] - u] = mean[of, :DIM], mean[of, DIM]
+            p["q"][key[of] - u] = mean[of, : DIM + 1]
             of = key >= u + c
             p["m"][key[of] - u - c] = mean[of, :DIM]
             model.load(p)

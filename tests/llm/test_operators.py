@@ -322,8 +322,9 @@ def test_language_model_is_normalised_over_words(monkeypatch):
     m = lm.LogBilinear(words)
     m.load({k: p + r.normal(0, 0.5, p.shape).astype(np.float32) for k, p in m.parts.items()})
     for _ in range(5):
-        before = r.integers(0, words.n_units, (1, lm.CONTEXT)).astype(np.uint16)
-        logs = m.log10(np.repeat(before, words.n_units, 0), np.arange(words.n_units))
+        before = r.integers(0, words.n_units, lm.CONTEXT)
+        units = np.concatenate([np.append(before, u) for u in range(words.n_units)]).astype(np.uint16)
+        logs = m.log10(units, np.arange(lm.CONTEXT, len(units), lm.CONTEXT + 1))
         assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
         # each word with its share of its class, and the part of words that were never seen
         every = sum(10 ** (logs[u] + s) for u, s in zip(words.units, words.share, strict=True)) + 10 ** logs[0]
@@ -374,12 +375,12 @@ def test_scores_are_those_of_plain_sums(spark):
         split = (text or "").lower().encode().split()
         units, total = [unit.get(w, known.tail(w)) for w in split] + [0], 0.0
         for k, u in enumerate(units):
-            h = sum(p["m"][j] * p["r"][units[k - 1 - j] if k - 1 - j >= 0 else 0] for j in range(lm.CONTEXT))
-            scores = p["b"] + p["q"] @ h
+            h = np.append(sum(p["m"][j] * p["r"][units[k - 1 - j] if k - 1 - j >= 0 else 0] for j in range(lm.CONTEXT)), 1)
+            scores = p["q"] @ h
             total += scores[words.classes[u]] - np.log(np.exp(scores).sum())
             if u > words.own:
                 g = int(words.classes[u]) - 1 - words.own
-                scores = p["a"][first[g] : first[g + 1]] + p["w"][first[g] : first[g + 1]] @ h
+                scores = p["w"][first[g] : first[g + 1]] @ h
                 total += scores[u - first[g]] - np.log(np.exp(scores).sum())
         total /= np.log(10)
         for w in split:
@@ -390,8 +391,9 @@ def test_scores_are_those_of_plain_sums(spark):
 
 
 def test_contexts_stop_at_a_text():
-    got = lm.contexts(np.array([5, 6, 0, 7, 0], dtype=np.uint16), np.array([3, 2]))
-    assert got.tolist()[:5] == [[0, 0, 0], [5, 0, 0], [6, 5, 0], [0, 0, 0], [7, 0, 0]]
+    units, real = lm.stream([np.array([5, 6, 0], dtype=np.uint16), np.array([7, 0], dtype=np.uint16), np.array([0], dtype=np.uint16)])
+    got = [(units[i], units[i - lm.CONTEXT : i][::-1].tolist()) for i in np.flatnonzero(real)]
+    assert got == [(5, [0, 0, 0]), (6, [5, 0, 0]), (0, [6, 5, 0]), (7, [0, 0, 0]), (0, [7, 0, 0]), (0, [0, 0, 0])]
 
 
 def test_examples_are_plain_json():
