@@ -20,13 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import mapped, plain_words, table, written
 
 N = 10
-#: Benchmark bytes in one broadcast block.
-BLOCK_BYTES = 32_000_000
+#: Benchmark bytes in one broadcast block. Opened, a block takes some 40 bytes for each of these, so about 160 MB in a worker.
+BLOCK_BYTES = 4_000_000
 FILTER_BITS = 20
 #: Odd multipliers of the window hash.
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
@@ -80,6 +79,18 @@ class Windows:
         return len(words), merge(found), sorted(x for x in items if x is not None)
 
 
+class Block:
+    """A block of the benchmark as it is sent out; a worker opens it once, not for each task."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], n: int):
+        self.items, self.n = items, n
+
+    def open(self) -> Windows:
+        if not hasattr(self, "windows"):
+            self.windows = Windows(self.items, self.n)
+        return self.windows
+
+
 def merge(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -103,10 +114,10 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     held = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(n_blocks)).alias("block"))
     for block in range(n_blocks):
         items = [(r[0], bytes(r[1])) for r in held.filter(F.col("block") == block).select("item_id", "text").collect()]
-        sent = spark.sparkContext.broadcast(items)
+        sent = spark.sparkContext.broadcast(Block(items, n))
 
         def scan(batches, sent=sent):
-            windows = Windows(sent.value, n)
+            windows = sent.value.open()
             for b in batches:
                 out = [windows.hits(x) for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -146,37 +157,44 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, drop_documents: bool = False) -> DataFrame:
-    """The documents without benchmark passages, all columns kept. A text with nothing but blanks and signs left goes; with drop_documents, every hit document goes."""
+    """The documents without benchmark passages, all columns kept. A text with nothing but blanks and signs left goes; with drop_documents, every hit document goes.
+
+    The spans of all blocks are found on uncut texts, merged, and cut once, so the result does not depend on the size of a block. One block is cut as it is
+    scanned; of several, the hits, by document, meet the texts in a join. Null, empty and wordless texts stay as they are.
+    """
     spark, schema = docs.sparkSession, docs.schema
     at = docs.columns.index("text")
-    blocks = _blocks(bench)
-    held = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
-    marked = StructType([*schema.fields, StructField("__dc_spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
-    out = docs
-    # Spans of all blocks are found on uncut texts and go along in a column; the last block's scan cuts.
-    for block in range(blocks):
-        sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in held.filter(F.col("block") == block).select("item_id", "text").collect()])
-
-        def scan(batches, sent=sent, first=block == 0, last=block == blocks - 1):
-            windows = Windows(sent.value, n)
+
+    def cleaned(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        arrays = list(batch.columns)
+        texts, keep = arrays[at].cast(pa.binary()).to_pylist(), []
+        for i, spans in enumerate(found):
+            if spans:
+                texts[i] = cut(texts[i], spans)
+            keep.append(not spans or (not drop_documents and WORD.search(texts[i]) is not None))
+        arrays[at] = pa.array(texts, pa.binary()).cast(arrays[at].type)
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    if _blocks(bench) == 1:
+        items = bench.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary")).collect()
+        sent = spark.sparkContext.broadcast(Block([(r[0], bytes(r[1])) for r in items], n))
+
+        def scan(batches):
+            windows = sent.value.open()
             for b in batches:
-                arrays = list(b.columns)
-                texts, keep = arrays[at].cast(pa.binary()).to_pylist(), []
-                before = [()] * len(texts) if first else [[(x["start"], x["end"]) for x in row] for row in arrays.pop().to_pylist()]
-                found = [merge([*old, *windows.hits(text)[1]]) if text is not None else [] for text, old in zip(texts, before, strict=True)]
-                if not last:
-                    spans = pa.array([[{"start": s, "end": e} for s, e in row] for row in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                    yield pa.RecordBatch.from_arrays([*arrays, spans], names=marked.names)
-                    continue
-                for i, spans in enumerate(found):
-                    if spans:
-                        texts[i] = cut(texts[i], spans)
-                    keep.append(not spans or (not drop_documents and WORD.search(texts[i]) is not None))
-                arrays[at] = pa.array(texts, pa.binary()).cast(arrays[at].type)
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names).filter(pa.array(keep, pa.bool_()))
-
-        out = mapped(out, scan, schema if block == blocks - 1 else marked)
-    return out
+                yield cleaned(b, [windows.hits(x)[1] if x is not None else [] for x in b.column(at).cast(pa.binary()).to_pylist()])
+
+        return mapped(docs, scan, schema)
+    hits = contamination(docs, bench, n).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "row_hash"])
+    hits = written(hits.select(F.col("doc_id").alias("__dc_id"), F.col("row_hash").alias("__dc_hash"), F.col("spans").alias("__dc_spans")), "decontamination-hits")
+    met = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("__dc_id")) & (F.xxhash64("text") == F.col("__dc_hash")), "left")
+
+    def cut_out(batches):
+        for b in batches:
+            spans = [[(x["start"], x["end"]) for x in row or ()] for row in b.column(b.num_columns - 1).to_pylist()]
+            yield cleaned(pa.RecordBatch.from_arrays(b.columns[:-1], names=schema.names), spans)
+
+    return mapped(met.select(*[F.col(f"`{c}`") for c in docs.columns], "__dc_spans"), cut_out, schema)
 
 
 def _sha(items: list[int]) -> str:

@@ -59,7 +59,8 @@ def words_before(text: str, places: list[int]) -> list[int]:
     """Blanks before each place, by one look at the text."""
     if not places:
         return []
-    return np.searchsorted(np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 0x20), places).tolist()
+    points = np.frombuffer(text.encode(), dtype=np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return np.searchsorted(np.flatnonzero(points == 0x20), places).tolist()
 
 
 class Scanner:
@@ -109,7 +110,7 @@ class Scanner:
 
     def scan(self, data: bytes) -> tuple:
         words = plain_words(data)
-        text = f" {b' '.join(words).decode('latin-1')} "  # one character a byte
+        text = f" {b' '.join(words).decode('utf-8', 'replace')} "  # an edit is a character, not a byte
         base, spans = self.places(text), self.fuzzy(text)
         starts = [x[0] for x in base]
         most = {label: edits + 1 for _, label, edits in self.notices}

@@ -278,5 +278,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long")
     return find_pii(table(spark, sf_dir, "documents")).select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
     )

@@ -12,7 +12,6 @@ left out, as are repeated labels that contradict each other; repeated rows each
 
 from __future__ import annotations
 
-import re
 from operator import eq
 
 import numpy as np
@@ -34,7 +33,8 @@ CLASSES = {
 }
 MASKS = np.array([[c in chars for chars in CLASSES.values()] for c in range(256)], dtype=np.float64)
 CLOSED = b".!?:;\"')"
-ENDING = re.compile(rb"[^0-9A-Za-z\x80-\xff.,;:!?\"')]+\Z")
+#: A word that ends in one of these has an odd ending: neither a letter or digit nor a usual closing sign.
+ODD_ENDS = bytes(c for c in range(0x80) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b".,;:!?\"')"))
 #: Words in a window of the repetition features, which thereby mean the same for texts of any length.
 WINDOW = 200
 
@@ -68,7 +68,7 @@ def features(text: bytes) -> list[float]:
         float(np.log1p(len(text))), float(np.log1p(n)), float(lengths.mean()), *shares.tolist(),
         distinct / n, most / n, sum(map(eq, words, words[1:])) / n, pairs / max(1, n - windows),
         1 - len(set(lines)) / len(lines), n / len(lines), ends / len(lines),
-        sum(1 for w in words if ENDING.search(w)) / n, float((lengths <= 3).mean()), float((lengths >= 20).mean()),
+        sum(1 for w in words if w[-1] in ODD_ENDS) / n, float((lengths <= 3).mean()), float((lengths >= 20).mean()),
     ]
 
 
@@ -171,14 +171,18 @@ class Additive:
         return 1 / (1 + np.exp(-out))
 
 
-def train(rows: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Additive:
-    """Fit to labelled rows whose crc32(doc_id) mod 3 is not 1, max_train of them at most (by hash)."""
+def usable(labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, y of labelled rows whose crc32(doc_id) mod 3 is not 1, max_train of them at most (by hash)."""
     y = F.col("quality")
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & y.isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
-    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).filter("y = z").drop("z")
-    every = max(1, -(-usable.count() * 10 // (9 * max_train)))
-    some = usable.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(every)) == 0).limit(max_train)
-    got = rows.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).toArrow()
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & y.isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).filter("y = z").drop("z")
+    every = max(1, -(-rows.count() * 10 // (9 * max_train)))
+    return rows.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(every)) == 0).limit(max_train)
+
+
+def train(rows: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Additive:
+    """Fit to the usable labels of rows of feature_rows(), max_train of them at most (by hash)."""
+    got = rows.join(F.broadcast(usable(labels, max_train)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return Additive(x, got.column("y").to_numpy().astype(np.float64))
 
@@ -196,8 +200,10 @@ def score(rows: DataFrame, model: Additive) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The documents with a score of at least `least`, all columns kept. The text is scanned for the fit and again for the decision, never shuffled."""
-    model = train(written(feature_rows(docs), "quality-features"), labels, max_train)
+    """The documents with a score of at least `least`, all columns kept. Features for the fit are those of documents with usable labels alone; for the decision every text is scanned, never shuffled."""
+    some = written(usable(labels, max_train).select(F.col("doc_id").alias("labelled")), "quality-labelled")
+    known = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("labelled"), "left_semi")
+    model = train(written(feature_rows(known), "quality-features"), labels, max_train)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def scan(batches):

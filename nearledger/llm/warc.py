@@ -3,10 +3,10 @@
 Writing: each task writes archives of its own, one gzip member per record, to the shared folder and returns a row for each
 finished file. Only files in that manifest are read, so a lost or repeated task leaves no record twice.
 
-Reading: one task per archive, streaming, one record in memory at a time. A member or record that fails a check
+Reading: one task per archive, streaming, one member or record in memory at a time. A member or record that fails a check
 (inflation, version line, header, length, record end, block digest, payload digest) ends a good stretch: the reader searches the bytes after its start
 for the next member (gzip magic) or version line (plain files) that passes all checks, goes on from there, and returns a
-gap row with the quarantined bytes and the reason.
+gap row with the quarantined bytes and the reason. Of a member with several records, those that are whole before the damage count as well; their places are the member's.
 
 Edge cases: a null payload is empty; a null url is left out of the record and read back as null; blanks in a url that would
 break the header are escaped; of equal payloads of at least 1000 bytes all that bear the largest id are responses; rows with a null id revisit
@@ -118,36 +118,46 @@ class Salvager:
             start += CHUNK
         return self.size
 
-    def one(self, start: int) -> tuple[int, dict, bytes]:
-        """The record at start: end, header, block."""
+    def records(self, start: int) -> tuple[int, list[tuple[int, dict, bytes]], str]:
+        """What starts there: where it ends, its records (start, header, block) and, if it is damaged after them, the reason."""
         return self.member(start) if self.gzip else self.plain(start)
 
-    def member(self, start: int) -> tuple[int, dict, bytes]:
-        inflate, out, at = zlib.decompressobj(31), [], start
+    def member(self, start: int) -> tuple[int, list, str]:
+        """All records of a gzip member. Those that are whole before a damage count; the rest of the member does not."""
+        inflate, data, at, out, reason = zlib.decompressobj(31), bytearray(), start, [], ""
         try:
-            while not inflate.eof:
+            while not inflate.eof and not reason:
                 part = self.at(at, CHUNK)
-                if not part:
-                    raise Damaged("member without end")
-                out.append(inflate.decompress(part))
+                data += inflate.decompress(part)
                 at += len(part)
-                if len(out) == 1 and out[0] and not out[0].startswith(VERSION[: len(out[0])]):
-                    raise Damaged("no version line")
-        except zlib.error as e:
-            raise Damaged("inflation") from e
-        data = b"".join(out)
-        header, block, end = parse(data)
-        if end != len(data):
-            raise Damaged("more than a record in a member")
-        return at - len(inflate.unused_data), header, block
-
-    def plain(self, start: int) -> tuple[int, dict, bytes]:
+                if not part:
+                    reason = "member without end"
+                elif not out and data and not data.startswith(VERSION[: len(data)]):
+                    reason = "no version line"
+        except zlib.error:
+            reason = "inflation"
+        end, data = at - len(inflate.unused_data), bytes(data)
+        while data:
+            try:
+                header, block, n = parse(data)
+            except Damaged as e:
+                reason = reason or str(e)
+                break
+            out.append((start, header, block))
+            data = data[n:]
+        if not out:
+            raise Damaged(reason or "empty member")
+        return end, out, reason
+
+    def plain(self, start: int) -> tuple[int, list, str]:
         data = self.at(start, CHUNK)
         if not data.startswith(VERSION):
             raise Damaged("no version line")
-        end = data.find(b"\r\n\r\n")
-        if end < 0:
-            raise Damaged("header without end")
+        while (end := data.find(b"\r\n\r\n")) < 0:  # a long header
+            more = self.at(start + len(data), len(data))
+            if not more or data.find(VERSION, 1) >= 0:
+                raise Damaged("header without end")
+            data += more
         for line in data[:end].split(b"\r\n"):
             if line.lower().startswith(b"content-length:") and line.partition(b":")[2].strip().isdigit():
                 whole = end + 8 + int(line.partition(b":")[2])
@@ -155,13 +165,13 @@ class Salvager:
                     raise Damaged("length beyond the file")
                 data = self.at(start, max(whole, len(data)))
         header, block, n = parse(data)
-        return start + n, header, block
+        return start + n, [(start, header, block)], ""
 
     def __iter__(self):
         at, bad, reason = 0, -1, ""
         while at < self.size:
             try:
-                end, header, block = self.one(at)
+                end, found, why = self.records(at)
             except Damaged as e:
                 if bad < 0:
                     bad, reason = at, str(e)
@@ -170,7 +180,12 @@ class Salvager:
             if bad >= 0:
                 yield bad, at, None, reason
                 bad = -1
-            yield at, end, header, block
+            if why:  # the member's later records are lost: search on behind its start
+                end = self.find(MAGIC, at + 1)
+            for start, header, block in found:
+                yield start, end, header, block
+            if why:
+                yield at, end, None, why
             at = end
         if bad >= 0:
             yield bad, self.size, None, reason
@@ -269,10 +284,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     groups = rows.select("source_id", key.alias("key")).filter("key is not null").groupBy("key").agg(F.max("source_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = rows.count()
     hot = groups.filter(F.col("n") * HOT_SHARE >= F.lit(total))
-    keyed = rows.withColumn("key", key).join(F.broadcast(hot.select("key", F.col("refers_to").alias("hot_id"), F.lit(True).alias("hot"))), "key", "left")
+    # payloads that are too short have no key and take no part in a join
+    short = rows.filter(F.octet_length("payload") < least_bytes).withColumn("refers_to", F.lit(None).cast("long"))
+    keyed = rows.withColumn("key", key).filter("key is not null").join(F.broadcast(hot.select("key", F.col("refers_to").alias("hot_id"), F.lit(True).alias("hot"))), "key", "left")
     # a payload without equals keeps a key of its own, so that the join deals rows out evenly
     cold = keyed.filter("hot is null").drop("hot", "hot_id").join(groups.filter(F.col("n") * HOT_SHARE < F.lit(total)).drop("n"), "key", "left")
-    both = keyed.filter("hot").select("source_id", "url", "payload", F.col("hot_id").alias("refers_to")).unionByName(cold.select("source_id", "url", "payload", "refers_to"))
+    both = keyed.filter("hot").select("source_id", "url", "payload", F.col("hot_id").alias("refers_to"))
+    both = both.unionByName(cold.select("source_id", "url", "payload", "refers_to")).unionByName(short)
     revisit = F.col("refers_to").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("refers_to"))
     return both.select("source_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 

@@ -221,6 +221,26 @@ def test_salvage(plain):
     assert good(b"junk before" + whole) == [0, 1, 2, 3, 4] and good(whole[:-3])[:4] == [0, 1, 2, 3] and good(b"") == [] and good(b"no archive at all") == []
 
 
+def test_records_of_one_member_and_long_headers():
+    parts = archive_of([b"one" * 400, b"two" * 300, b"three" * 300], True)
+    good = lambda data: [int(h["warc-source-row"]) for *_, h, _ in warc.salvage(data) if h]
+    whole = gzip.compress(b"".join(parts))
+    assert good(whole) == [0, 1, 2] and good(whole + gzip.compress(parts[0])) == [0, 1, 2, 0]
+    broken = bytearray(b"".join(parts))
+    broken[len(parts[0]) + len(parts[1]) // 2] ^= 0xFF  # the second record's block
+    got = warc.salvage(gzip.compress(bytes(broken)) + gzip.compress(parts[2]))
+    assert [int(h["warc-source-row"]) for *_, h, _ in got if h] == [0, 2] and [r for *_, h, r in got if h is None] == ["block digest"]
+    long = parts[0].replace(b"\r\n", b"\r\nX-Long: " + b"y" * 200_000 + b"\r\n", 1)
+    assert good(long + parts[1]) == [0, 1]
+
+
+def test_short_pages_are_dealt_evenly(spark):
+    pages = spark.createDataFrame([(i, "u", "short" if i % 2 else f"{i % 7}" * 1500) for i in range(2000)], "page_id long, url string, html string").withColumn("payload", F.lit("x")).withColumn("key", F.lit("k"))
+    got = warc.with_revisits(pages)
+    assert got.count() == 2000 and got.filter("revisit").count() == 1000 - 7
+    assert got.filter("length(payload) < 1000 and (revisit or refers_to is not null)").count() == 0
+
+
 def test_archives_keep_odd_pages(spark):
     big = "<p>" + "x" * 2000
     rows = [(1, "http://a", big), (2, None, big), (3, "u", big), (4, "u", None), (5, "u", "small"), (6, "u", "small"), (None, "u", big), (7, "u", "é" * 600), (3, "u", big)]
@@ -243,6 +263,42 @@ def test_fuzzy_notices():
     assert scan(b"mit license mit license")[1:4] == (2, 0, 2)
 
 
+def test_an_edit_is_a_character():
+    scan = license_scan.Scanner().scan
+    got = scan("café: licensed under the apãchê lícense version 2 0, naïve".encode())
+    assert [(x[0], x[1], x[2], x[3]) for x in got[5]] == [("apache-2.0-notice", 1, 9, 3)]
+
+
+def edit_distance_inside(notice, text):
+    """Least edits that turn the notice into some part of the text (Sellers)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_notices_against_plain_edit_distances():
+    r, s, n = random.Random(3), license_scan.Scanner(), 0
+    for notice, label, edits in license_scan.NOTICES:
+        for extra in range(6):
+            text = list(notice)
+            for _ in range(extra + edits - 2):
+                i, k = r.randrange(1, len(text) - 1), r.randrange(3)
+                text[i : i + (k != 2)] = [] if k == 1 else [r.choice("qxzé ")]
+            text = f" before {' '.join(''.join(text).split())} after "
+            found = [x for x in s.fuzzy(text) if x[0] == label]
+            least = edit_distance_inside(notice, text)
+            if found and len({x[0] for x in s.fuzzy(text)}) == 1:
+                assert min(x[3] for x in found) >= least
+            if least > max(k for m, of, k in license_scan.NOTICES if of == label):
+                continue
+            n += bool(found)
+    assert n > 25
+
+
 def test_every_seed_split_finds_its_notice():
     r, s = random.Random(9), license_scan.Scanner()
     for notice, label, edits in license_scan.NOTICES:
@@ -312,6 +368,36 @@ def words_of(counts, texts=10):
     return words.open()
 
 
+def plain_features(text):
+    words = [w.encode() for w in __import__("re").findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
+    n, data = len(words), text.encode()
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    shares = [sum(b in chars for b in data) / len(data) for chars in quality.CLASSES.values()]
+    parts = [words[i : i + 200] for i in range(0, n, 200)]
+    lines = [x.strip() for x in data.split(b"\n") if x.strip()]
+    odd = sum(chr(w[-1]) not in ".,;:!?\"')" and not chr(w[-1]).isalnum() and w[-1] < 128 for w in words)
+    return [
+        np.log1p(len(data)), np.log1p(n), sum(map(len, words)) / n, *shares, sum(len(set(p)) for p in parts) / n, sum(max(p.count(w) for w in set(p)) for p in parts) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(len({*zip(p, p[1:], strict=False)}) if len(p) > 1 else 1 for p in parts) / max(1, n - len(parts)),
+        1 - len(set(lines)) / len(lines), n / len(lines), sum(chr(x[-1]) in ".!?:;\"')" for x in lines) / len(lines), odd / n, sum(len(w) <= 3 for w in words) / n, sum(len(w) >= 20 for w in words) / n,
+    ]
+
+
+def test_quality_features_and_scores_against_plain_ones():
+    r, texts = random.Random(2), ["", " \n\t ", "One", "A b c.\nA b c.\n\n(x) [y] é ü", "w " * 450 + "end!", "=" * 1_000_000 + "a", "a" + "=" * 1_000_000 + " b"]
+    texts += [" ".join(r.choice(["the", "Of", "x=", "a|b", "é", "no.", "12", "\n", "verylongwordwithoutanyend"]) for _ in range(r.randrange(1, 600))) for _ in range(30)]
+    x = np.array([quality.features(t.encode()) for t in texts])
+    assert x == pytest.approx(np.array([plain_features(t) for t in texts]))
+    y = (x[:, 1] > np.median(x[:, 1])).astype(float)
+    m = quality.Additive(x, y)
+    for row, got in zip(x, m.score(x), strict=True):
+        bins = lambda edges: [int((e <= v).sum()) for e, v in zip(edges, row, strict=True)]  # noqa: B023, E731
+        fine, coarse = bins(m.edges), bins(m.coarse)
+        total = m.base + sum(t[b] for t, b in zip(m.tables, fine, strict=True)) + sum(g[coarse[i], coarse[j]] for i, j, g in m.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_language_model_is_normalised_over_words(monkeypatch):
     monkeypatch.setattr(lm, "OWN", 5)
     monkeypatch.setattr(lm, "SIZE", 4)
