@@ -131,14 +131,24 @@ class Index:
         self.centroids = spark.read.parquet(f"{path}/centroids")
 
 
-def build_index(refs: DataFrame, path: str, nlist: int = 1024, iters: int = 10, sample: int = SAMPLE) -> Index:
-    """Quantise, bucket, cluster and store labelled vectors (rid, d0 to d13, fraud). The index appears whole: its metadata is written last."""
+def prepare(refs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
+    """Store the codes of labelled vectors with their buckets, and the systematic sample of `sample` rows a bucket, which is returned."""
     spark = refs.sparkSession
     rows = ranked(coded(refs), f"{path}/ranked")
     some = every_nth(rows, sample, "place").drop("rn", "m").withColumnRenamed("place", "rn")
     some = some.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("bucket")))  # `sample` rows a bucket at most
     some.write.mode("overwrite").parquet(f"{path}/sample")
-    held = fit_centroids(spark.read.parquet(f"{path}/sample"), nlist, iters)
+    return spark.read.parquet(f"{path}/sample")
+
+
+def build_index(refs: DataFrame, path: str, nlist: int = 1024, iters: int = 10, sample: int = SAMPLE) -> Index:
+    """Quantise, bucket, cluster and store labelled vectors (rid, d0 to d13, fraud). The index appears whole: its metadata is written last."""
+    return finish(prepare(refs, path, sample), path, nlist, iters)
+
+
+def finish(sample: DataFrame, path: str, nlist: int, iters: int) -> Index:
+    """The index of what prepare() has stored at path."""
+    spark, held = sample.sparkSession, fit_centroids(sample, nlist, iters)
     out = assign(spark.read.parquet(f"{path}/ranked"), held)
     out.repartitionByRange("bucket", "cell", "rid").sortWithinPartitions("bucket", "cell", "rid").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
     sizes = spark.read.schema(ROWS).parquet(f"{path}/rows").groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))

@@ -93,7 +93,9 @@ def candidates(queries: DataFrame, found: DataFrame, rows: DataFrame, probed: in
                         i, j = local_top(d, rid[some], k)
                         yield pa.RecordBatch.from_arrays([pa.array(qid[of[j]]), pa.array(rid[some[i]]), pa.array(d[i, j]), pa.array(fraud[some[i]])], names=["qid", "rid", "d", "fraud"])
 
-        parts.append(mapped(rows.select("rid", *CODES, "fraud", "cell", "bucket"), scan, "qid long, rid long, d double, fraud boolean"))
+        # buckets without probes, folders of the table, are not read
+        probed_buckets = np.unique(p.column("bucket").to_numpy()).tolist()
+        parts.append(mapped(rows.filter(F.col("bucket").isin(probed_buckets)).select("rid", *CODES, "fraud", "cell", "bucket"), scan, "qid long, rid long, d double, fraud boolean"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

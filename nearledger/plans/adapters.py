@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..config import load_constants
 from ..operators.vectorize import VECTOR, vectorize
 
+#: Merchant category codes of the risk table, and two that it lacks.
 MCC = ["5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311", "5999", "1234", "9999"]
 #: Cells a bucket, probes of the cheap and of the high pass, sample rows a bucket in the queries.
-NLIST, NPROBE, NPROBE_HIGH, SAMPLE = 8, 2, 6, 400
+NLIST, NPROBE, NPROBE_HIGH, SAMPLE = 8, 3, 6, 400
+#: Probes of the high pass for some cheap votes.
+HIGH_FOR_VOTES = {2: 4, 3: 8}
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

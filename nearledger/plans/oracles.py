@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .adapters import BUCKET, BUCKET_Q, CODED, INDEXED, NLIST, NPROBE, NPROBE_HIGH, PENALTY, RISK, SAMPLED, TX, VEC, D, assigned, centroid_means, distance, searched
+from .adapters import BUCKET, BUCKET_Q, CODED, HIGH_FOR_VOTES, INDEXED, NLIST, NPROBE, NPROBE_HIGH, PENALTY, RISK, SAMPLED, TX, VEC, D, assigned, centroid_means, distance, searched
 
 C = ", ".join(f"c{i}" for i in range(14))
 
@@ -23,6 +23,20 @@ CHEAP = f"""{INDEXED}, {searched('cheap', str(NPROBE))}, summed AS (SELECT q.qid
 TIERS = f"""{CHEAP}, again AS (SELECT q.* FROM q JOIN summed s ON s.qid = q.qid WHERE abs(votes - 3) <= 1), {searched('high', str(NPROBE_HIGH), 'again')},
 tiers AS (SELECT s.qid, CAST(s.votes AS INTEGER) AS cheap_votes, abs(s.votes - 3) <= 1 AS escalated, CAST(CASE WHEN abs(s.votes - 3) <= 1 THEN coalesce(h.v, 0) ELSE s.votes END AS INTEGER) AS votes
   FROM summed s LEFT JOIN (SELECT qid, count(*) FILTER (fraud) AS v FROM high GROUP BY qid) h ON h.qid = s.qid)"""
+PER_VOTE = f"""{CHEAP}, again AS (SELECT q.*, CASE s.votes {' '.join(f'WHEN {v} THEN {n}' for v, n in HIGH_FOR_VOTES.items())} ELSE {NPROBE_HIGH} END AS np FROM q JOIN summed s ON s.qid = q.qid WHERE abs(votes - 3) <= 1), {searched('high', 'q.np', 'again')},
+tiers AS (SELECT s.qid, CAST(s.votes AS INTEGER) AS cheap_votes, abs(s.votes - 3) <= 1 AS escalated, CAST(CASE WHEN abs(s.votes - 3) <= 1 THEN coalesce(h.v, 0) ELSE s.votes END AS INTEGER) AS votes
+  FROM summed s LEFT JOIN (SELECT qid, count(*) FILTER (fraud) AS v FROM high GROUP BY qid) h ON h.qid = s.qid)"""
+
+
+def _iterated(n: int) -> str:
+    """Views cent1 to cent<n>: centroids after each iteration over the sample."""
+    out = []
+    for k in range(n):
+        old = f"cent{k}" if k else "seed"
+        out.append(f"{assigned('sample', old, f'it{k}')}, moved{k} AS ({centroid_means(f'it{k}')}), cent{k + 1} AS (SELECT s.bucket, s.cell, {', '.join(f'coalesce(m.d{i}, s.d{i}) AS d{i}' for i in range(14))} FROM {old} s LEFT JOIN moved{k} m USING (bucket, cell))")
+    return ", ".join(out)
+
+
 SCAN = "scan AS (SELECT qid, CAST(sum(n) AS BIGINT) AS rows_scanned, count(*) AS cells FROM cellrank WHERE place < {} GROUP BY qid)"
 JUDGED = f"""{TIERS}, {SCAN.format(NPROBE_HIGH)}, judged AS (SELECT t.*, t.votes < 3 AS approved, NOT q.fraud AS expected_approved, rows_scanned FROM tiers t JOIN q ON q.qid = t.qid JOIN scan ON scan.qid = t.qid),
 conf AS (SELECT count(*) AS n, count(*) FILTER (NOT approved AND expected_approved) AS fp, count(*) FILTER (approved AND NOT expected_approved) AS fn FROM judged),
@@ -63,6 +77,10 @@ ORACLES: dict[str, str] = {
     "index_roundtrip": f"WITH {INDEXED} SELECT bucket, cell, n, {D} FROM cent",
     "ivf_probe_cells": f"WITH {INDEXED} SELECT qid, bucket, cell, CAST(place AS INTEGER) AS place, CAST(penalty AS DOUBLE) AS penalty, home FROM cellrank WHERE place < {NPROBE}",
     "ivf_topk": f"WITH {INDEXED}, {searched('s', str(NPROBE))} SELECT qid, rid, d, fraud, CAST(rank AS INTEGER) AS rank FROM s",
+    "ivf_recall": f"WITH {INDEXED}, {QEXACT}, {searched('s', str(NPROBE))} SELECT count(*) AS n, count(s.rid) AS found, count(s.rid) / count(*) AS recall FROM exactv e LEFT JOIN s ON s.qid = e.qid AND s.rid = e.rid",
+    "two_tier_per_vote": f"WITH {PER_VOTE} SELECT cheap_votes, escalated, {ANSWER.format('votes')} FROM tiers",
+    "work_percentiles": f"WITH {INDEXED}, {SCAN.format(NPROBE)}, s AS (SELECT list_sort(list(rows_scanned)) AS a FROM scan), p AS (SELECT unnest([50, 99, 100])::DOUBLE AS percent) SELECT percent, a[least(len(a) - 1, CAST(floor(len(a) * percent / 100) AS BIGINT)) + 1]::DOUBLE AS value FROM s, p",
+    "kmeans_iterations": f"WITH {SAMPLED}, {_iterated(3)} SELECT bucket, cell, {D} FROM cent3",
     "ivf_all_cells": f"WITH {INDEXED}, {QEXACT} SELECT qid, rid, d, CAST(rank AS INTEGER) AS rank FROM exactv",
     "search_max_scan": f"WITH {INDEXED}, cut AS (SELECT qid, bucket, cell FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY home DESC, bucket, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cellrank WHERE place < {NPROBE}) WHERE b < 300), {searched('s', str(NPROBE)).replace('sp AS (SELECT r.* FROM cellrank r JOIN q q', 'sp AS (SELECT r.* FROM cellrank r JOIN cut USING (qid, bucket, cell) JOIN q q')} SELECT qid, rid, d, CAST(rank AS INTEGER) AS rank FROM s",
     "rows_scanned": f"WITH {INDEXED}, {SCAN.format(NPROBE)} SELECT * FROM scan",

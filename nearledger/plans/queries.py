@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..functions import scalars as S
 from ..operators import evaluate, index as ix, knn, search
 from ..operators.vectorize import VECTOR
 from ..sources.payloads import parse_requests, respond
-from ..sources.store import stored, work_dir
+from ..sources.store import MADE, stored, work_dir
 from ..streaming.scoring import score_requests, start
 from . import adapters as A
 
@@ -40,16 +40,33 @@ def near_embeddings(spark: SparkSession, sf_dir: str, k: int = 5, refs: DataFram
     return queries, rows, knn.nearest(queries, rows, "embedding", k, exclude_self=True)
 
 
-@lru_cache(8)
+#: By session and folder: the sample and then the index that were built, with their place, as long as store.clear() leaves it.
+BUILT: dict[tuple, tuple[str, DataFrame | ix.Index]] = {}
+
+
+def _built(kind: str, spark: SparkSession, sf_dir: str, make: Callable):
+    key = kind, id(spark), sf_dir
+    if key not in BUILT or BUILT[key][0] not in MADE:
+        BUILT[key] = make()
+    return BUILT[key]
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    def make():
+        at = work_dir(spark)
+        return at, ix.prepare(references(spark, sf_dir), at, A.SAMPLE)
+
+    return _built("sample", spark, sf_dir, make)
+
+
 def index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build_index(references(spark, sf_dir), work_dir(spark), A.NLIST, 1, A.SAMPLE)
+    at, sample = _sample(spark, sf_dir)
+    return _built("index", spark, sf_dir, lambda: (at, ix.finish(sample, at, A.NLIST, 1)))[1]
 
 
-@lru_cache(8)
-def coded_sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ranked codes and their systematic sample, stored with the index."""
-    own = index(spark, sf_dir)
-    return spark.read.parquet(f"{own.path}/ranked"), spark.read.parquet(f"{own.path}/sample")
+def coded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The systematic sample of the codes."""
+    return _sample(spark, sf_dir)[1]
 
 
 def vectorize_tx(spark, d):
@@ -155,30 +172,36 @@ def knn_tx(spark, d):
 
 
 def coarse_candidates(spark, d):
-    """Both sides quantised: the 64 nearest by integer distance, a missing last transaction at its true cost."""
+    """Both sides quantised: the 64 nearest by the exact distance of what the codes stand for, which gives a missing last transaction its true cost."""
     codes = ix.values(ix.coded(references(spark, d)))
     own = codes.filter(F.col("rid") % EVERY == 0).select(F.col("rid").alias("qid"), *VECTOR)
     return knn.nearest(own, codes, VECTOR, 64).select("qid", "rid", "rank")
 
 
 def systematic_sample(spark, d):
-    return coded_sample(spark, d)[1].select("rid", "bucket", "rn", "m")
+    return coded_sample(spark, d).select("rid", "bucket", "rn", "m")
 
 
 def kmeans_seed(spark, d):
-    return ix.seeds(coded_sample(spark, d)[1], A.NLIST)
+    return ix.seeds(coded_sample(spark, d), A.NLIST)
 
 
 def kmeans_assign(spark, d):
-    rows = coded_sample(spark, d)[1]
+    rows = coded_sample(spark, d)
     return ix.assign(rows, ix.Centroids(ix.seeds(rows, A.NLIST).collect())).select("rid", "bucket", "cell")
 
 
 def kmeans_step(spark, d):
-    rows = coded_sample(spark, d)[1]
+    rows = coded_sample(spark, d)
     return ix.means(ix.assign(rows, ix.Centroids(ix.seeds(rows, A.NLIST).collect())))
 
 
+def kmeans_iterations(spark, d):
+    """Three iterations of Lloyd's; a cell that loses all its rows keeps its centroid."""
+    held = ix.fit_centroids(coded_sample(spark, d), A.NLIST, 3)
+    return spark.createDataFrame(held.rows(), "bucket int, cell int, " + ", ".join(f"{v} double" for v in VECTOR))
+
+
 def index_rows(spark, d):
     return index(spark, d).rows.select("rid", "bucket", "cell", "fraud")
 
@@ -201,6 +224,14 @@ def ivf_all_cells(spark, d):
     return search.search(stored(asked(A.vectors(spark, d)).select("qid", *VECTOR), "queries"), index(spark, d), A.NLIST).drop("fraud")
 
 
+def ivf_recall(spark, d):
+    """How many of the exact nearest neighbours, by the stored codes, a search of a few cells finds."""
+    queries = stored(asked(A.vectors(spark, d)).select("qid", *VECTOR), "queries")
+    exact = knn.nearest(queries, ix.values(index(spark, d).rows), VECTOR).select("qid", "rid")
+    found = search.search(queries, index(spark, d), A.NPROBE).select("qid", "rid", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "rid"], "left").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"), (F.coalesce(F.sum("hit"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("recall"))
+
+
 def search_max_scan(spark, d):
     return search.search(stored(asked(A.vectors(spark, d)).select("qid", *VECTOR), "queries"), index(spark, d), A.NPROBE, max_scan=300).drop("fraud")
 
@@ -219,6 +250,16 @@ def two_tier(spark, d):
     return search.two_tier(asked(A.vectors(spark, d)), index(spark, d), CONFIG)
 
 
+def two_tier_per_vote(spark, d):
+    """The same with probes of the high pass by the cheap vote."""
+    return search.two_tier(asked(A.vectors(spark, d)), index(spark, d), replace(CONFIG, high_for_votes=A.HIGH_FOR_VOTES))
+
+
+def work_percentiles(spark, d):
+    """Rows scanned a query: median, 99th percentile and most."""
+    return evaluate.index_percentiles(rows_scanned(spark, d), "rows_scanned", [50.0, 99.0, 100.0])
+
+
 def judged(spark, d) -> DataFrame:
     queries = stored(asked(A.vectors(spark, d)), "judged")
     return search.two_tier(queries, index(spark, d), CONFIG).join(queries.select("qid", (~F.col("fraud")).alias("expected_approved")), "qid").join(search.scanned(queries, index(spark, d), A.NPROBE_HIGH), "qid")
@@ -265,7 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         vectorize_tx, time_features, last_tx_sentinel, unknown_merchant, mcc_lookup, clamp_values, quantize, dequantize_roundtrip, bucket_of, bucket_histogram, bucket_penalty,
         json_extract, payload_fallback, knn_exact, knn_vote, knn_kth_distance, knn_empty_refs, knn_fewer_than_k, knn_tx, coarse_candidates, systematic_sample, kmeans_seed,
-        kmeans_assign, kmeans_step, index_rows, index_roundtrip, ivf_probe_cells, ivf_topk, ivf_all_cells, search_max_scan, rows_scanned, escalation_gate, two_tier,
+        kmeans_assign, kmeans_step, kmeans_iterations, index_rows, index_roundtrip, ivf_probe_cells, ivf_topk, ivf_recall, ivf_all_cells, search_max_scan, rows_scanned, escalation_gate, two_tier, two_tier_per_vote, work_percentiles,
         confusion, detection_score, vote_breakdown, index_percentile, approx_vs_exact, score_batch, score_stream,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,18 @@ def discard(*tables: DataFrame) -> None:
             MADE.remove(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at the end, whose results must have been written elsewhere by then."""
+    before = set(MADE)
+    try:
+        yield
+    finally:
+        for at in [x for x in MADE if x not in before]:
+            _delete(spark, at)
+            MADE.remove(at)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this process has put into the shared folder. Results that still read from it must have been written elsewhere before."""
     while MADE:

@@ -12,7 +12,7 @@ from ..operators.index import Index
 from ..operators.search import two_tier
 from ..operators.vectorize import VECTOR, vectorize
 from ..sources.payloads import parse_requests
-from ..sources.store import stored
+from ..sources.store import scratch, stored
 
 
 def score_requests(requests: DataFrame, index: Index, norm: Norm, risk: dict[str, float], config: SearchConfig | None = None) -> DataFrame:
@@ -25,7 +25,14 @@ def score_requests(requests: DataFrame, index: Index, norm: Norm, risk: dict[str
     return tx.select("qid", (F.col("is_fallback") | F.isnan("d2")).alias("is_fallback")).join(scored, "qid", "left").select("qid", "is_fallback", (votes < 3).alias("approved"), (votes / F.lit(5.0)).alias("fraud_score"))
 
 
-def start(spark: SparkSession, source: str, index: Index, norm: Norm, risk: dict[str, float], sink: Callable[[DataFrame, int], None], checkpoint: str, config: SearchConfig | None = None):
-    """Score JSON files (qid, request) that arrive in a folder; the sink gets each scored batch with its number, again after a failure."""
+def start(spark: SparkSession, source: str, index: Index, norm: Norm, risk: dict[str, float], sink: Callable[[DataFrame, int], None], checkpoint: str, config: SearchConfig | None = None, interval: str | None = None):
+    """Score JSON files (qid, request) that arrive in a folder; the sink gets each scored batch with its number, again after a failure, and writes it
+    before it returns: the batch's own tables are deleted then. interval: seconds between batches, as in "10 seconds"; without it, what is there is scored and the query ends."""
     rows = spark.readStream.schema("qid long, request string").json(source)
-    return rows.writeStream.foreachBatch(lambda batch, k: sink(score_requests(batch, index, norm, risk, config), k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def score(batch: DataFrame, k: int) -> None:
+        with scratch(batch.sparkSession):
+            sink(score_requests(batch, index, norm, risk, config), k)
+
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -12,6 +12,7 @@ from nearledger.operators.vectorize import VECTOR, vectorize
 from nearledger.sources.payloads import parse_requests, read_evaluation, read_references
 from nearledger.streaming.scoring import score_requests
 
+#: Requests of the published format and their expected vectors (test_golden_vectors).
 LEGIT = {
     "id": "tx-1329056812", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"},
     "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]}, "merchant": {"id": "MERC-016", "mcc": "5411", "avg_amount": 60.25},
@@ -148,6 +149,9 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "eval.json").write_text(json.dumps({"entries": [{"request": LEGIT, "expected_approved": True}]}))
     entries = read_evaluation(spark, str(tmp_path / "eval.json"))
     assert not parse_requests(entries).first().is_fallback
+    absent = {k: v for k, v in LEGIT.items() if k != "last_transaction"}
+    (tmp_path / "absent.json").write_text(json.dumps({"entries": [{"request": absent, "expected_approved": True}]}))
+    assert parse_requests(read_evaluation(spark, str(tmp_path / "absent.json"))).first().is_fallback
 
 
 def test_order_statistics(spark, monkeypatch):
@@ -168,6 +172,25 @@ def test_scores():
     assert SearchConfig.clamp(10_000, 4096) == 512 and SearchConfig(high_for_votes={3: 7}).high(3, 64) == 7
 
 
+def test_scratch_tables_go_and_a_cleared_index_is_built_again(spark):
+    from nearledger.plans import queries
+    from nearledger.sources import store
+
+    n = len(store.MADE)
+    with store.scratch(spark):
+        store.stored(spark.range(3), "a")
+        assert len(store.MADE) == n + 1
+    assert len(store.MADE) == n
+    built = []
+    make = lambda: (store.work_dir(spark), built.append(1))
+    for _ in range(2):
+        queries._built("test", spark, "x", make)
+    assert len(built) == 1
+    store.MADE.remove(queries.BUILT["test", id(spark), "x"][0])
+    queries._built("test", spark, "x", make)
+    assert len(built) == 2
+
+
 def test_stored_tables_can_be_cleared(spark):
     from pathlib import Path
 
