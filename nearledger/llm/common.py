@@ -56,8 +56,8 @@ def crc_mod_local(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of rows with groups (one row a key, weight: how many rows have it), for keys of any heat.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], weight: str) -> DataFrame:
+    """Inner join of rows with groups (one row a key, of one or several columns; weight: how many rows have it), for keys of any heat.
 
     Keys with a thousandth of all rows or more, a thousand at most, are broadcast;
     the rest is an ordinary join. Both inputs should be written tables: they are read more than once.
@@ -65,7 +65,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> Da
     total = groups.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * HOT_SHARE >= F.lit(total)
     large = groups.filter(hot & (F.col(weight) > 1)).withColumn("_hot", F.lit(True))
-    names = [c for c in groups.columns if c != key]
+    names = [c for c in groups.columns if c not in ([key] if isinstance(key, str) else key)]
     marked = rows.join(F.broadcast(large), key, "left")
     small = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(groups.filter(~(hot & (F.col(weight) > 1))), key)
     out = [*rows.columns, *names]

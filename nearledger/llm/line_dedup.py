@@ -145,15 +145,15 @@ def near_lines(first: DataFrame, rows: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    variants = written(left.select("order", "id", F.explode(keys).alias("k")).select(F.struct("k.v", "k.w").alias("variant"), "k.kind", "order", "id"), "line-variants")
-    least = variants.groupBy("variant").agg(
-        F.min(F.when(F.col("kind") != SELF, F.col("order"))).alias("long"), F.min(F.when(F.col("kind") == SELF, F.col("order"))).alias("self"),
-        F.min("order").alias("a"), F.max("order").alias("b"), F.count(F.lit(1)).alias("n"),
-    ).filter("a <> b")
-    least = written(least.select("variant", "long", "self", "n"), "line-variants-met")
+    variants = written(left.select("order", "id", F.explode(keys).alias("k")).select("k.v", "k.w", "k.kind", "order", "id"), "line-variants")
+    # nearly all variants occur once, so that what a task holds of each is kept small; a line that has one twice meets itself below, in vain
+    least = variants.groupBy("v", "w").agg(
+        F.min(F.when(F.col("kind") != SELF, F.col("order"))).alias("long"), F.min(F.when(F.col("kind") == SELF, F.col("order"))).alias("self"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1")
+    least = written(least, "line-variants-met")
     # lines that share a place differ there alone; a longer line meets the text that it leaves, and that text the earliest longer one
     by = F.when(F.col("kind") == LONG, F.col("self")).otherwise(F.col("long"))
-    pairs = join_groups(variants, least, "variant", "n").withColumn("by", by).filter(F.col("by") < F.col("order"))
+    pairs = join_groups(variants, least, ["v", "w"], "n").withColumn("by", by).filter(F.col("by") < F.col("order"))
     pairs = written(pairs.select("order", "id", "by").distinct(), "line-pairs")
     discard(variants, least)
     side = texts.select("order", "id", "line")

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
 #: Similarity mode: shared five-word shingles decide.
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles that are told to be common; hashes that a task holds, that a part counts, entries that a shard should hold.
-COMMON, HELD, COUNTED, ENTRIES = 2_000_000, 4_000_000, 2_000_000, 250_000
+COMMON, HELD, COUNTED, ENTRIES = 2_000_000, 1_000_000, 2_000_000, 250_000
 #: Odd multipliers of the shingle hash.
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 SHARED = "token long, text long, size int, place int, n long, centre boolean, hub long, star boolean"
