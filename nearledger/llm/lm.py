@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ HEAD, NEURAL, LEAST, OWN, SIZE = 300_000, 32_000, 30, 64, 192
 #: Context tokens, dimensions, noise samples a batch, tokens a batch, passes over the corpus, learning rate.
 CONTEXT, DIM, NOISE, BATCH, ROUNDS, RATE = 3, 16, 48, 4096, 2, 0.05
 #: Tokens that are trained on or scored together; rows of class scores at a time; neighbouring tokens that stay together in a batch.
-SLICE, SCORED, RUN = 262_144, 1024, 32
+SLICE, SCORED, RUN = 262_144, 512, 32
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Fixed point of averaged parameters, which makes their sum independent of its order.
@@ -93,25 +94,37 @@ class Vocabulary:
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Places in the head; -1: not there."""
-        get = self.place.get
-        return np.fromiter([get(w, -1) for w in words], dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
     def coded(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
         """Units of the words and of the end."""
         out = np.empty(len(words) + 1, dtype=np.uint16)
         out[:-1] = self.units[places] if len(self.units) else 0
-        for i in np.flatnonzero(places < 0).tolist():
-            out[i] = self.tail(words[i])
+        rare = np.flatnonzero(places < 0)
+        if len(rare):
+            out[rare] = [self.tail(words[i]) for i in rare.tolist()]
         out[-1] = END
         return out
 
 
 def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places and the sums of their rows."""
+    if not len(at):
+        return at, rows
     order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]])[: len(at)])
-    return sorted_at[first], np.add.reduceat(rows[order], first, axis=0) if len(at) else rows
+    at = at.take(order)
+    last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+    n = np.diff(last, prepend=-1)
+    first = last - n + 1
+    if 4 * len(last) < len(at):
+        return at.take(last), np.add.reduceat(rows.take(order, 0), first, axis=0)
+    # most places stand alone, and only the others are added up
+    out, many = rows.take(order.take(last), 0), np.flatnonzero(n > 1)
+    if len(many):
+        size = n.take(many)
+        starts = np.cumsum(size) - size
+        out[many] = np.add.reduceat(rows.take(order.take(np.repeat(first.take(many) - starts, size) + np.arange(size.sum())), 0), starts, axis=0)
+    return at.take(last), out
 
 
 def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +157,7 @@ class LogBilinear:
         self.parts = {"r": normal(u), "m": np.ones((CONTEXT, DIM)), "q": np.column_stack([normal(c), logs[0]]), "w": np.column_stack([normal(u), np.where(grouped, logs[1], 0)])}
         self.parts = {k: p.astype(np.float32) for k, p in self.parts.items()}
         #: Of each row, the sums of its gradients' squares: the mean over its vector, and of its bias.
-        self.squares = {k: np.full((len(p), 2), 1e-8, dtype=np.float32) for k, p in self.parts.items()}
+        self.squares = {k: np.full((2, len(p)), 1e-8, dtype=np.float32) for k, p in self.parts.items()}
         #: How often each unit was met, and whether as noise.
         self.met, self.noise = np.zeros(u, dtype=np.int64), np.zeros(u, dtype=bool)
 
@@ -153,38 +166,40 @@ class LogBilinear:
 
     def climb(self, name: str, rows, gradient: np.ndarray) -> None:
         """An AdaGrad step for some rows, with one rate for a row's vector and one for its bias."""
-        squares = self.squares[name][rows]
-        squares[:, 0] += np.einsum("nd,nd->n", gradient[:, :DIM], gradient[:, :DIM]) / DIM
-        gradient[:, :DIM] *= RATE / np.sqrt(squares[:, :1])
+        part, (of_vector, of_bias) = self.parts[name], self.squares[name]
+        squares = of_vector.take(rows)
+        squares += np.einsum("nd,nd->n", gradient[:, :DIM], gradient[:, :DIM]) / DIM
+        of_vector[rows] = squares
+        gradient[:, :DIM] *= (RATE / np.sqrt(squares))[:, None]
         if gradient.shape[1] > DIM:
-            squares[:, 1] += gradient[:, DIM] ** 2
-            gradient[:, DIM] *= RATE / np.sqrt(squares[:, 1])
-        self.squares[name][rows] = squares
-        self.parts[name][rows] += gradient
+            squares = of_bias.take(rows)
+            squares += gradient[:, DIM] ** 2
+            of_bias[rows] = squares
+            gradient[:, DIM] *= RATE / np.sqrt(squares)
+        gradient += part.take(rows, 0)
+        part[rows] = gradient
 
     def contrast(self, h: np.ndarray, own: np.ndarray, name: str, level: int, draw: np.random.Generator) -> np.ndarray:
         """Noise-contrastive estimation at one level; the batch shares its noise. Climbs the outputs and returns what goes on to h, whose last column is 1."""
         outputs, chance, n = self.parts[name], self.chance[level], len(own)
         noise = np.minimum(np.searchsorted(self.upto[level], draw.random(NOISE), side="right"), len(outputs) - 1).astype(np.uint16)
-        out_own, out_noise = outputs[own], outputs[noise]
+        out_own, out_noise = outputs.take(own, 0), outputs.take(noise, 0)
         real = np.einsum("nd,nd->n", h, out_own)
-        real -= chance[own]
-        real = 1 / (1 + np.exp(np.minimum(real, 30)))  # 1 - sigma
-        against = -out_noise.T
-        against[DIM] += chance[noise]
+        real -= chance.take(own)
+        real = 0.5 - 0.5 * np.tanh(0.5 * real)  # 1 - sigma
+        against = 0.5 * out_noise.T
+        against[DIM] -= 0.5 * chance.take(noise)
         false = h @ against
-        np.minimum(false, 60, out=false)
-        np.exp(false, out=false)
-        false += 1
-        np.divide(-1, false, out=false)  # minus sigma
+        np.tanh(false, out=false)  # 2 sigma - 1
         rows = np.empty((n + NOISE, DIM + 1), dtype=np.float32)
-        np.multiply(real[:, None], h, out=rows[:n])
-        np.dot(false.T, h, out=rows[n:])
+        np.multiply((real / n)[:, None], h, out=rows[:n])
+        rows[n:] = (false.T @ h + np.ones(n, dtype=np.float32) @ h) * (-0.5 / n)
         at, rows = gathered(np.concatenate([own, noise]), rows)
+        out_noise *= -0.5
         to_h = false @ out_noise
+        to_h += out_noise.sum(0)
         out_own *= real[:, None]
         to_h += out_own
-        rows /= n
         self.climb(name, at, rows)
         if level:
             self.noise[noise] = True
@@ -193,20 +208,22 @@ class LogBilinear:
     def train(self, units: np.ndarray, real: np.ndarray, draw: np.random.Generator) -> None:
         """One step over runs of neighbouring tokens, each a row with the CONTEXT tokens before it. real: which tokens count."""
         m, (runs, width) = self.parts["m"], units.shape
-        seen = self.parts["r"][units.ravel()].reshape(runs, width, DIM)
+        seen = self.parts["r"].take(units.ravel(), 0).reshape(runs, width, DIM)
         before = [seen[:, CONTEXT - 1 - i : width - 1 - i] for i in range(CONTEXT)]
-        h = np.ones((runs, width - CONTEXT, DIM + 1), dtype=np.float32)
-        np.multiply(before[0], m[0], out=h[:, :, :DIM])
+        by = np.repeat(m[:, None], width - CONTEXT, axis=1)  # as wide as a run, which makes one long inner loop
+        added = before[0] * by[0]
         for i in range(1, CONTEXT):
-            h[:, :, :DIM] += before[i] * m[i]
+            added += before[i] * by[i]
+        h = np.ones((runs, width - CONTEXT, DIM + 1), dtype=np.float32)
+        h[:, :, :DIM] = added
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return
-        own, h = units[:, CONTEXT:].ravel()[at], h.reshape(-1, DIM + 1)[at]
-        to_h = self.contrast(h, self.words.classes[own], "q", 0, draw)
+        own, h = units[:, CONTEXT:].ravel().take(at), h.reshape(-1, DIM + 1).take(at, 0)
+        to_h = self.contrast(h, self.words.classes.take(own), "q", 0, draw)
         some = np.flatnonzero(own > self.words.own)
         if len(some):
-            to_h[some] += self.contrast(h[some], own[some], "w", 1, draw)
+            to_h[some] += self.contrast(h.take(some, 0), own.take(some), "w", 1, draw)
         to_h /= len(at)
         whole = np.zeros((runs * (width - CONTEXT), DIM), dtype=np.float32)
         whole[at] = to_h
@@ -214,8 +231,8 @@ class LogBilinear:
         to_m, to_r = np.empty_like(m), np.zeros_like(seen)
         for i in range(CONTEXT):
             to_m[i] = np.einsum("nkd,nkd->d", whole, before[i])
-            to_r[:, CONTEXT - 1 - i : width - 1 - i] += whole * m[i]
-        self.climb("m", slice(None), to_m)
+            to_r[:, CONTEXT - 1 - i : width - 1 - i] += whole * by[i]
+        self.climb("m", np.arange(CONTEXT), to_m)
         self.climb("r", *gathered(units.ravel(), to_r.reshape(-1, DIM)))
 
     def learn(self, texts: list[np.ndarray], draw: np.random.Generator) -> int:
@@ -238,33 +255,34 @@ class LogBilinear:
     def log10(self, units: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the units at some places of a stream."""
         r, m, q, w = (self.parts[k] for k in self.NAMES)
-        own, first = units[places], self.words.first
-        classes = self.words.classes[own]
-        h = np.ones((len(places), DIM + 1), dtype=np.float32)
-        h[:, :DIM] = 0
-        for i in range(CONTEXT):
-            h[:, :DIM] += (r * m[i])[units[places - 1 - i]]
-        # no exponential overflows or vanishes where all scores lie within 60
-        reach = lambda rows: float((np.abs(h).max(0) * np.abs(rows).max(0)).sum()) if len(h) else 0.0
-        wide, out = reach(q) > 60, np.empty(len(places))
+        own, first = units.take(places), self.words.first
+        classes, moved = self.words.classes.take(own), [r * m[i] for i in range(CONTEXT)]
+        h, out = np.ones((len(places), DIM + 1), dtype=np.float32), np.empty(len(places))
         for at in range(0, len(places), SCORED):
-            out[at : at + SCORED] = _log_share(h[at : at + SCORED], q, classes[at : at + SCORED], wide)
-        wide, order = reach(w) > 60, np.argsort(classes, kind="stable")
+            some, here = places[at : at + SCORED], h[at : at + SCORED]
+            before = moved[0].take(units.take(some - 1), 0)
+            for i in range(1, CONTEXT):
+                before += moved[i].take(units.take(some - 1 - i), 0)
+            here[:, :DIM] = before
+            out[at : at + SCORED] = _log_share(here, q, classes[at : at + SCORED])
+        order = np.argsort(classes, kind="stable")
         edges = np.searchsorted(classes[order], np.arange(self.words.n_classes + 1))
         for g in range(len(first) - 1):
             rows, of = order[edges[1 + self.words.own + g] : edges[2 + self.words.own + g]], w[first[g] : first[g + 1]]
             for at in range(0, len(rows), SCORED):
                 some = rows[at : at + SCORED]
-                out[some] += _log_share(h[some], of, own[some] - first[g], wide)
+                out[some] += _log_share(h.take(some, 0), of, own.take(some) - first[g])
         return out / np.log(10)
 
 
-def _log_share(h: np.ndarray, outputs: np.ndarray, own: np.ndarray, wide: bool) -> np.ndarray:
+def _log_share(h: np.ndarray, outputs: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Of each row's own output, the natural log of its share of all outputs' exponentials."""
     y = h @ outputs.T
-    if wide:
+    # no exponential overflows or vanishes where all scores lie within 60
+    longest = lambda x: float(np.einsum("nd,nd->n", x, x).max())
+    if not longest(h) * longest(outputs) < 3600:
         y -= y.max(1)[:, None]
-    mine = y[np.arange(len(y)), own]
+    mine = y.ravel().take(np.arange(0, y.size, y.shape[1]) + own)
     np.exp(y, out=y)
     return mine - np.log(y @ np.ones(y.shape[1], dtype=np.float32))
 
@@ -335,25 +353,31 @@ def coded(texts: DataFrame, words: Vocabulary) -> DataFrame:
         known, part, row = sent.value.open(), TaskContext.get().partitionId(), 0
         log_all = np.log10(known.total + 0.5 * (known.distinct + 1))
         log_end = np.log10(known.mass[END] + 0.5)
+        names = [f.split()[0] for f in CODED.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
         for b in batches:
             ids, data = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 1000):
-                rows, rare = [], []
+                rows, sizes, rare, times = [], [], [], []
                 for doc_id, text in zip(ids[lo : lo + 1000], data[lo : lo + 1000].to_pylist(), strict=True):
                     split = blank_words(text)
                     places = known.places(split)
                     units, n = known.coded(split, places), len(split) + 1
                     out, inside = np.flatnonzero(places < 0), places[places >= 0]
-                    base = known.logs[inside].sum() + log_end - n * log_all
-                    share = known.share[inside].sum() - known.tail_logs[units[out]].sum()
-                    rid = part << 40 | row
-                    rows.append((rid, doc_id, crc_mod_local(doc_id, 5) == 1, n, n - len(out) - (known.mass[END] == 0), base, share, units.tobytes(), None, None))
-                    rare += [(rid, None, None, None, None, None, None, None, w, c) for w, c in Counter([split[i] for i in out.tolist()]).items()]
+                    base = known.logs.take(inside).sum() + log_end - n * log_all
+                    share = known.share.take(inside).sum() - known.tail_logs.take(units.take(out)).sum()
+                    rows.append((part << 40 | row, doc_id, crc_mod_local(doc_id, 5) == 1, n, n - len(out) - (known.mass[END] == 0), base, share, units.tobytes()))
+                    words = Counter([split[i] for i in out.tolist()])
+                    sizes.append(len(words))
+                    rare += words.keys()
+                    times += words.values()
                     row += 1
-                for x in (rows, rare):
-                    if x:
-                        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x, strict=True), types, strict=True)], names=[f.split()[0] for f in CODED.split(", ")])
+                if rows:
+                    some = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*some, *[pa.nulls(len(rows), t) for t in types[8:]]], names=names)
+                if rare:
+                    rid = pa.array(np.repeat(np.arange(row - len(sizes), row) + (part << 40), sizes))
+                    yield pa.RecordBatch.from_arrays([rid, *[pa.nulls(len(rare), t) for t in types[1:8]], pa.array(rare, types[8]), pa.array(times, types[9])], names=names)
 
     return mapped(texts.select("doc_id", "text"), run, CODED)
 
