@@ -31,6 +31,13 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(PLAIN_WORDS).split()
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of so many rows, so that a kernel never holds a whole one's texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, table, written
+from .common import mapped, slices, table, written
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bins of the pattern fit and documents in a pattern.
 BINS, PATTERN = 128, 3
-#: Chunks whose ids a worker remembers.
-CACHE = 500_000
+#: Chunks whose ids a worker remembers; words that the tokenizer gets at a time, which takes some hundred times their length.
+CACHE, NEW = 500_000, 5_000
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -67,14 +67,15 @@ class Ids:
 
     def learn(self, chunks: set[bytes]) -> None:
         split = {c: m.groups() for c in chunks if b"'" not in c and (m := self.SPLIT.fullmatch(c))}
-        words = [w for w in {w for w, _ in split.values()} if w not in self.known]
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4") if words else np.zeros(0, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) == len(words):
-            data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
-        else:
-            self.known.update((w, self.encode(w)) for w in words)
+        new = [w for w in {w for w, _ in split.values()} if w not in self.known]
+        for words in (new[at : at + NEW] for at in range(0, len(new), NEW)):
+            ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(words):
+                data = ids.tobytes()
+                self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+            else:
+                self.known.update((w, self.encode(w)) for w in words)
         for c in chunks - split.keys():
             self.known[c] = self.encode(c)
         for c, (word, tail) in split.items():
@@ -110,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
 
     def cut(batches):
         ids, part, ranks = encoder(sent.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = ids.of(text) + end

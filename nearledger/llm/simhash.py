@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, join_groups, mapped, small, table, written
+from .common import blank_words, join_groups, mapped, slices, small, table, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Entries for the routing tree's sample, entries that a shard should hold, sampled entries that a shard needs at least.
@@ -250,7 +250,7 @@ def common_shingles(texts: DataFrame, words: int, size: int) -> tuple[np.ndarray
 
     def scan(batches):
         held, n = [], 0
-        for b in batches:
+        for b in slices(batches):
             for x in b.column(0).to_pylist():
                 held.append(shingle_hashes(x, words))
                 n += len(held[-1])
@@ -368,7 +368,7 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
     ends = written(edges.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "similar-ends")
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(x, words) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["row_hash", "shingles"])
 
     wanted = texts.select("row_hash", "text").join(small(ends), "row_hash", "left_semi").dropDuplicates(["row_hash"])
