@@ -282,7 +282,7 @@ def within(similarity: float, size, place, size_b, place_b) -> np.ndarray:
 
 
 def shared_prefixes(texts: DataFrame, words: int, similarity: float, size: int) -> DataFrame:
-    """A row for each shingle of a text's prefix that another text's prefix has too. Each shingle has a centre, one of its n texts; hub is the centre's text, star whether the two may be similar."""
+    """A row for each shingle of a text's prefix that another text's prefix has too. Each shingle has a centre, that of its n texts with the shingle at the first place; hub is the centre's text, star whether the two may be similar."""
     sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words, size))
     shards = max(1, int(size / 6 * (1 - similarity) / ENTRIES))
 
@@ -313,8 +313,9 @@ def shared_prefixes(texts: DataFrame, words: int, similarity: float, size: int)
 
     def meet(shard: pa.Table) -> pa.Table:
         token, text, size, place = (shard.column(x).to_numpy() for x in ("token", "text", "size", "place"))
-        mixed = (token ^ text).view(np.uint64) * ODD[0]  # every shingle draws its own centre
-        order = np.lexsort((mixed, token))
+        # the centre has the fewest rarer shingles, as an original has among its copies; of several, every shingle draws its own
+        mixed = (token ^ text).view(np.uint64) * ODD[0]
+        order = np.lexsort((mixed, place, token))
         token, text, size, place = token[order], text[order], size[order], place[order]
         once = np.concatenate([[True], (token[1:] != token[:-1]) | (text[1:] != text[:-1])])[: len(token)]
         token, text, size, place = token[once], text[once], size[once], place[once]
@@ -383,8 +384,8 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     `similarity` over distinct shingles of `words` words reach. Equal texts are similar, also empty ones.
 
     Exact but for colliding 64-bit hashes. With shingles in one order for all texts, common ones last, texts that are similar share one within
-    their prefixes, the first fifth at 0.8 (prefix filtering). First each such shingle's texts are held against one of them,
-    its centre; then all pairs at a shingle that are still in different components are, so that no pair goes unseen. Both are
+    their prefixes, the first fifth at 0.8 (prefix filtering). First each such shingle's texts are held against its centre,
+    the one with the fewest rarer shingles; then all pairs at a shingle that are still in different components are, so that no pair goes unseen. Both are
     verified on whole texts. Texts that are nearly similar to many others (templates with over four fifths in common) cost their pairs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
