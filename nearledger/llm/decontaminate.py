@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, plain_words, table, written
+from .common import mapped, plain_words, slices, table, written
 
 N = 10
 #: Benchmark bytes in one broadcast block. Opened, a block takes some 40 bytes for each of these, so about 160 MB in a worker.
@@ -181,7 +181,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, drop_documents:
 
         def scan(batches):
             windows = sent.value.open()
-            for b in batches:
+            for b in slices(batches):
                 yield cleaned(b, [windows.hits(x)[1] if x is not None else [] for x in b.column(at).cast(pa.binary()).to_pylist()])
 
         return mapped(docs, scan, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, crc_mod, mapped, table, written
+from .common import BLANK_WORDS, crc_mod, mapped, slices, table, written
 
 MAX_TRAIN = 20_000
 FEATURES = (
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train:
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(sent.value.score(x) >= least))
 
