@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_hash (of the text) and fp, the fingerprint as a signed long."""
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(x, shingle) for x in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "row_hash", "fp"])
 
@@ -203,17 +203,32 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.select("e.*").filter("a <> b").distinct(), "simhash-edges")
 
 
+def rooted(rows: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """fp, first_id, n (rows), root of the fingerprints in written rows: root is the smallest that links reach."""
+    entries = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-entries")
+    roots = components(links(entries, reach)).withColumnRenamed("node", "fp")
+    return written(entries.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, row_hash, fp, component_id (the smallest doc_id that links reach)."""
     rows = written(fingerprints(docs, shingle), "simhash-documents")
-    entries = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-entries")
-    roots = components(links(entries, reach)).withColumnRenamed("node", "fp")
-    named = written(entries.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    named = rooted(rows, reach)
     groups = written(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "simhash-groups")
     known = written(join_groups(named, groups, "root", "size").select("fp", "n", "component_id"), "simhash-known")
     return join_groups(rows, known, "fp", "n").select("doc_id", "row_hash", "fp", "component_id")
 
 
+def text_links(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
+    """Edges (a, b) of text hashes, written: every text whose fingerprint is linked to another text's, with the smallest hash of its component."""
+    rows = written(fingerprints(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), shingle), "simhash-documents")
+    named = rooted(rows, reach).select("fp", "n", "root")
+    texts = written(rows.select("row_hash", "fp").distinct(), "simhash-hashes")
+    placed = written(join_groups(texts, named, "fp", "n").select("row_hash", "root"), "simhash-placed")
+    least = written(placed.groupBy("root").agg(F.min("row_hash").alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "simhash-least")
+    return written(join_groups(placed, least, "root", "size").filter("row_hash <> b").select(F.col("row_hash").alias("a"), "b"), "simhash-linked")
+
+
 #: Similarity mode: shared five-word shingles decide.
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles that are told to be common; hashes that a task holds, that a part counts, entries that a shard should hold.
@@ -288,7 +303,7 @@ def shared_prefixes(texts: DataFrame, words: int, similarity: float, size: int)
 
     def scan(batches):
         common, counts = sent.value
-        for b in batches:
+        for b in slices(batches):
             tokens, ids, sizes, seen = [], [], [], set()
             for text, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text in seen:
@@ -379,14 +394,14 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
     return written(both.filter(shared + 1e-6 >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "similar-linked")
 
 
-def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, links: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, row_hash, root, component_id, the smallest doc_id that pairs of texts with Jaccard similarity of at least
     `similarity` over distinct shingles of `words` words reach. Equal texts are similar, also empty ones.
 
     Exact but for colliding 64-bit hashes. With shingles in one order for all texts, common ones last, texts that are similar share one within
     their prefixes, the first fifth at 0.8 (prefix filtering). First each such shingle's texts are held against its centre,
     the one with the fewest rarer shingles; then all pairs at a shingle that are still in different components are, so that no pair goes unseen. Both are
-    verified on whole texts. Texts that are nearly similar to many others (templates with over four fifths in common) cost their pairs.
+    verified on whole texts. links: further edges (a, b) of text hashes, written, that count as they are. Texts that are nearly similar to many others (templates with over four fifths in common) cost their pairs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = written(texts.select("doc_id", "row_hash"), "similar-documents")
@@ -395,6 +410,8 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     shared = written(shared_prefixes(texts, words, similarity, size), "similar-shared")
     stars = written(shared.filter("star").select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b")).distinct(), "similar-stars")
     linked = verified(stars, texts, words, similarity)
+    if links is not None:
+        linked = linked.unionByName(links)
     roots = components(linked).withColumnRenamed("node", "text")
     crowded = shared.filter("n > 2 and not centre").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text"))
     rest = written(unjoined_pairs(crowded, similarity, max(1, -(-shared.count() // ENTRIES))), "similar-rest")
@@ -409,12 +426,14 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of similar(), that with the smallest doc_id (then text hash); of rows repeated whole, one. All columns kept.
+    """One document of each group, that with the smallest doc_id (then text hash); of rows repeated whole, one. All columns kept.
 
+    Fingerprints within RADIUS bits link documents, by text_links(); the exact join of similar() adds the pairs that they miss. A group is what links of
+    both kinds reach.
     What is looked up in the texts are the documents that go, as written tables: small ones are broadcast by their
     count, larger ones joined by key.
     """
-    groups = written(similar(docs, words, similarity), "near-groups")
+    groups = written(similar(docs, words, similarity, text_links(docs)), "near-groups")
     who = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
     first = written(groups.groupBy("root").agg(F.min(who).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-first")
     gone = join_groups(groups, first, "root", "n").filter(~(who == F.col("f"))).select("doc_id", "row_hash").distinct()

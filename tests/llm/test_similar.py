@@ -69,3 +69,14 @@ def test_copies_with_any_kind_of_edit(spark):
         texts += [" ".join(page), " ".join(other)]
     assert all(sum(x >= 0.8 for x in pairs[k::3]) >= 20 for k in range(3)) and min(pairs) < 0.8
     assert found(spark, texts) == [2 * (i // 2) if pairs[i // 2] >= 0.8 else i for i in range(len(texts))]
+
+
+def test_fingerprints_link_what_shingles_do_not(spark):
+    """The stage's groups are those of fingerprints within two bits, too."""
+    r = random.Random(3)
+    base, tail = words(r, 31) * 20, words(r, 12)
+    texts = [" ".join(base), " ".join([*base, *tail]), " ".join(words(r, 60))]
+    a, b = (simhash.fingerprint(x.encode()) for x in texts[:2])
+    assert (a ^ b).bit_count() <= 2 and jaccard(*texts[:2]) < 0.8
+    docs = spark.createDataFrame([*enumerate(texts), (3, None), (4, " ")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [0, 2, 3]
