@@ -107,6 +107,16 @@ def test_second_pass_is_bounded_by_the_first(spark, tmp_path):
     assert sorted(search.search(asked.join(home, "qid", "left"), index, 3).select("qid", "rid", "d", "rank").collect()) == want
 
 
+def test_requests_of_some_orders(spark, tmp_path):
+    """Windows run over the orders of the customers asked for alone."""
+    d = f"file://{tmp_path}"
+    spark.range(3000).selectExpr("id AS o_orderkey", "id * 7 % 290 AS o_custkey", "id * 7.5D AS o_totalprice", "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(id % 5 AS int)) AS o_orderdate").write.parquet(f"{d}/orders.parquet")
+    got = queries.requests(spark, d, queries.ASKED)
+    assert sorted(got.collect()) == sorted(queries.asked(queries.requests(spark, d)).collect()) and got.count() == 30
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.rindex("Window [") :]
+
+
 def test_codes_round_half_up(spark):
     k = np.arange(0, 10_000, 37)
     y = np.concatenate([(k + 0.5) / 10000, np.nextafter((k + 0.5) / 10000, 0), np.nextafter((k + 0.5) / 10000, 1), np.random.default_rng(2).random(5000), [0.0, 1.0, 1.5, -1.0, 5e-5]])
